@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .packed_ids import op8_packed_ids
+from .packing import op9_packing
 from .simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op8_packed_ids, op9_packing)}
 
 ORACLES = {
     "op2_chat": r"""
