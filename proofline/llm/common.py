@@ -50,6 +50,13 @@ def unsigned_crc(text: Column) -> Column:
     return F.crc32(text.cast("string").cast("binary"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys of equal names, null to null; the keys of `left` stay."""
+    right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__right_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"__right_{k}" for k in keys])
+
+
 def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, to: str, chunk_rows: int = 20_000, rows: int | None = None) -> DataFrame:
     """Adds `to`: the sum of `value` over the earlier rows of the group.
 
@@ -64,6 +71,5 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, t
     totals = totals.withColumn("__base", F.coalesce(F.sum("__total").over(before), F.lit(0))).drop("__total")
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("__inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    on = [df[k].eqNullSafe(totals[k]) for k in group] + [df["__chunk"] == totals["__chunk"]]
-    out = df.join(totals, on, "left").withColumn(to, (df["__inside"] + totals["__base"]).cast("long"))
-    return out.select(*[df[c] for c in df.columns if not c.startswith("__")], to)
+    out = null_safe_join(df, totals, keys, "left").withColumn(to, (F.col("__inside") + F.col("__base")).cast("long"))
+    return out.drop("__chunk", "__inside", "__base")

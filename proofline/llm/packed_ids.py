@@ -51,8 +51,8 @@ def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     body: list[bytes] = [b""] * n
     for w in np.unique(width):
         rows = np.flatnonzero(width == w)
-        bits = (rest[rows][:, :, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)
-        packed = np.packbits(bits.astype(np.uint8).reshape(rows.size, -1), axis=1, bitorder="little")
+        bits = np.unpackbits(rest[rows].view(np.uint8).reshape(rows.size, BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
+        packed = np.packbits(bits.reshape(rows.size, -1), axis=1, bitorder="little")
         for r, p in zip(rows.tolist(), packed, strict=True):
             body[r] = p.tobytes()
     blocks = []
