@@ -85,12 +85,13 @@ class Encoder:
     def _encode(self, new: dict[str, bytes]) -> None:
         """Encodes the plain ones as one text with marks between, the others each for itself."""
         form = {x: x if x.startswith("\n") else f" {x}" for x in new}
-        plain = [x for x in form if not ODD.search(x)] if self.mark else []
-        ids = self._ids(self.mark.join([form[x] for x in plain]))
+        plain = [x for x in form if not ODD.search(x, x.startswith("\n"))] if self.mark else []
+        gap = "" if self.line else " "  # a line end is the mark itself, or as good as a space
+        ids = self._ids(self.mark.join([gap + x[1:] if x.startswith("\n") else form[x] for x in plain]))
         at = np.flatnonzero(ids == self.mark_id) if plain else []
         if len(at) == len(plain) - 1:
             flat, ends = ids.tobytes(), [-4, *(4 * at).tolist(), 4 * ids.size]
-            new.update((x, flat[lo + 4 : hi]) for x, lo, hi in zip(plain, ends, ends[1:], strict=False))
+            new.update((x, self.line + flat[lo + 4 : hi] if x.startswith("\n") else flat[lo + 4 : hi]) for x, lo, hi in zip(plain, ends, ends[1:], strict=False))
         else:
             plain = []
         for x in form.keys() - set(plain):
