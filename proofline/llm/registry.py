@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .languages import op7_languages
 from .mixing import op6_mixing
 from .neighbours import op3_neighbours
 from .packed_ids import op8_packed_ids
 from .packing import op9_packing
 from .simhash import op1_simhash
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op6_mixing, op8_packed_ids, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op6_mixing, op7_languages, op8_packed_ids, op9_packing)}
 
 ORACLES = {
     "op2_chat": r"""
