@@ -87,7 +87,7 @@ class Model:
             chances, own, words = self.marginals(some)
             n = np.bincount(own, minlength=len(some))
             mean = np.stack([np.bincount(own, chances[:, c], len(some)) for c in range(len(self.languages))], axis=1)
-            mean /= np.maximum(1, n)[:, None]
+            mean = mean / np.maximum(1, n)[:, None]
             for row, k in zip(mean, n.tolist(), strict=True):
                 best = int(row.argmax())
                 out.append((self.languages[best], round(min(1.0, float(row[best])), 6), k) if k else (UNKNOWN, 0.0, k))

@@ -144,6 +144,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: each document's text becomes its taken spans, one a line, epoch by epoch."""
+    ship(spark)
     _, spans = mix(docs)
     spans = spans.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n_words"))).alias("__spans"))
     words = F.regexp_extract_all("text", F.lit(f"({WORDS})"))

@@ -112,4 +112,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left: the pieces, with their sequences and places in them."""
+    ship(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -9,8 +9,9 @@ from .neighbours import op3_neighbours
 from .packed_ids import op8_packed_ids
 from .packing import op9_packing
 from .simhash import op1_simhash
+from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op6_mixing, op7_languages, op8_packed_ids, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity)}
 
 ORACLES = {
     "op2_chat": r"""
