@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from .chat import op2_chat
+from .digests import op5_digests
 from .languages import op7_languages
 from .mixing import op6_mixing
 from .neighbours import op3_neighbours
 from .packed_ids import op8_packed_ids
 from .packing import op9_packing
+from .pages import op4_main_text
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity)}
 
 ORACLES = {
     "op2_chat": r"""
