@@ -125,7 +125,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     cut = there.select("*", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     lo, hi = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
     cut = cut.select("doc_id", "hash", "source_id", "copy", "block", (lo - F.col("at")).alias("first"), (hi - lo).alias("n_words"))
-    taken = cut.join(draws(sources, block, shard, seed), ["source_id", "block"])
+    drawn = draws(sources, block, shard, seed).hint("merge")  # its size is not seen in what it is made from
+    taken = cut.join(drawn, ["source_id", "block"])
     return placed, taken.drop("block")
 
 
@@ -147,9 +148,20 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     ship(spark)
     _, spans = mix(docs)
     spans = spans.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n_words"))).alias("__spans"))
-    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"))
-    line = lambda s: F.array_join(F.slice(F.col("__words"), (s["first"] + 1).cast("int"), s["n_words"].cast("int")), " ")
     spans = spans.withColumnRenamed("hash", "__hash")
     out = null_safe_join(docs.withColumn("__hash", F.xxhash64("text")), spans, ["doc_id", "__hash"])
-    out = out.withColumn("__words", words).withColumn("text", F.array_join(F.transform("__spans", line), "\n"))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    at, names = docs.columns.index("text"), docs.columns
+    chars = names.index("n_chars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = []
+            for text, cuts in zip(b.column(at).cast(pa.binary()), b.column(len(names)), strict=True):
+                words = text.as_py().split()
+                texts.append(b"\n".join(b" ".join(words[c["first"] : c["first"] + c["n_words"]]) for c in cuts.as_py()).decode())
+            columns = b.columns[: len(names)]
+            columns[at] = pa.array(texts, pa.string())
+            columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[chars].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return out.select(*names, "__spans").mapInArrow(run, docs.schema)
