@@ -1,0 +1,6 @@
+"""Every registered query of the engine."""
+
+from . import label_queries, number_queries, text_queries  # noqa: F401
+from .base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
