@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import ABV_TOLERANCE, MAX_ABV, MAX_PROOF, PROOF_SLACK, UNITS_ML, VULGAR_FRACTIONS, WINE_TOLERANCE_ABOVE, WINE_TOLERANCE_TO_14
-from .text import WS, normalized, trimmed
+from .text import WS, let, normalized, trimmed
 
 NUMBER = "(\\d*[.,]?\\d+)"
 PROOF = f"(?i){NUMBER}{WS}*(?:degrees?{WS}*)?proof"
@@ -46,23 +46,26 @@ def alcohol_text(c: Column) -> Column:
 
 def parse_alcohol(text: Column) -> Column:
     """struct<abv, proof, derived, matched> of an alcohol_text(); null numbers where it states none."""
-    proof_match = _first(text, PROOF, 0)
-    proof_value = decimal(_first(text, PROOF, 1))
-    proof = F.when(proof_value.between(0.0, MAX_PROOF), proof_value)
-    at = F.position(proof_match, text)
-    rest = F.when(proof_match != "", F.concat(F.substr(text, F.lit(1), at - 1), F.lit(" "), F.substr(text, at + F.length(proof_match)))).otherwise(text)
-    abv, matched = F, F
-    for p in ABV_PATTERNS:
-        value = decimal(_first(rest, p, 1))
-        fits = value.between(0.0, MAX_ABV)
-        abv, matched = abv.when(fits, value), matched.when(fits, trimmed(_first(rest, p, 0)))
-    derived = abv.isNull() & proof.isNotNull()
-    return F.struct(
-        F.coalesce(abv, proof / 2).alias("abv"),
-        proof.alias("proof"),
-        F.coalesce(derived, F.lit(False)).alias("derived"),
-        F.when(derived, trimmed(proof_match)).otherwise(matched).alias("matched"),
-    )
+    found = lambda c, p: F.struct(decimal(_first(c, p, 1)).alias("value"), _first(c, p, 0).alias("matched"))
+
+    def without(text: Column, proof: Column) -> Column:
+        at = F.position(proof["matched"], text)
+        return F.when(proof["matched"] != "", F.concat(F.substr(text, F.lit(1), at - 1), F.lit(" "), F.substr(text, at + F.length(proof["matched"])))).otherwise(text)
+
+    def result(proof: Column, hit: Column) -> Column:
+        stated = F.when(proof["value"].between(0.0, MAX_PROOF), proof["value"])
+        derived = F.coalesce(hit["value"].isNull() & stated.isNotNull(), F.lit(False))
+        return F.struct(
+            F.coalesce(hit["value"], stated / 2).alias("abv"),
+            stated.alias("proof"),
+            derived.alias("derived"),
+            trimmed(F.when(derived, proof["matched"]).otherwise(hit["matched"])).alias("matched"),
+        )
+
+    def first_plausible(rest: Column) -> Column:
+        return F.get(F.filter(F.array(*[found(rest, p) for p in ABV_PATTERNS]), lambda h: h["value"].between(0.0, MAX_ABV)), 0)
+
+    return let(text, lambda t: let(found(t, PROOF), lambda proof: let(let(without(t, proof), first_plausible), lambda hit: result(proof, hit))))
 
 
 def proof_consistent(reading: Column) -> Column:
@@ -88,11 +91,15 @@ def canonical_unit(c: Column) -> Column:
 def parse_volume(text: Column) -> Column:
     """struct<ml, unit, value, matched> of the leftmost volume in a volume_text(); nulls where there is none."""
     pattern = VOLUME + VOLUME_END
-    value, unit = decimal(_first(text, pattern, 1)), _first(text, pattern, 2)
-    factor = F.try_element_at(F.create_map(*[F.lit(x) for pair in UNITS_ML.items() for x in pair]), canonical_unit(unit))
-    ml = value * factor
-    given = lambda c: F.when(ml.isNotNull(), c)
-    return F.struct(ml.alias("ml"), given(trimmed(unit)).alias("unit"), given(value).alias("value"), given(trimmed(_first(text, pattern, 0))).alias("matched"))
+    factors = F.create_map(*[F.lit(x) for pair in UNITS_ML.items() for x in pair])
+
+    def result(unit: Column) -> Column:
+        ml = unit["value"] * F.try_element_at(factors, canonical_unit(unit["unit"]))
+        given = lambda c: F.when(ml.isNotNull(), c)
+        return F.struct(ml.alias("ml"), given(trimmed(unit["unit"])).alias("unit"), given(unit["value"]).alias("value"), given(trimmed(unit["matched"])).alias("matched"))
+
+    read = lambda t: F.struct(decimal(_first(t, pattern, 1)).alias("value"), _first(t, pattern, 2).alias("unit"), _first(t, pattern, 0).alias("matched"))
+    return let(text, lambda t: let(read(t), result))
 
 
 def format_volume(ml: Column) -> Column:

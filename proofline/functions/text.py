@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,6 +36,11 @@ def normalized(c: Column, form: str) -> Column:
     return F.when(ascii_only, c).otherwise(_NORMALISERS[form](F.when(~ascii_only, c)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value worked out once a row however often the body has it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
