@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,6 +52,17 @@ def unsigned_crc(text: Column) -> Column:
     return F.crc32(text.cast("string").cast("binary"))
 
 
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """Rows whose text `keep` accepts, with all columns as they are: no shuffle, whatever ids are null or repeated."""
+    at, names, schema = docs.columns.index(text_col), docs.columns, docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_())).rename_columns(names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys of equal names, null to null; the keys of `left` stay."""
     right = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, ship, unsigned_crc
+from .common import keep_rows, load, ship, unsigned_crc
 from .letters import MULT, Words, mixed, ngrams
 
 #: Weights are held by hash of the feature.
@@ -222,5 +222,5 @@ def op7_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language can be told: those without a letter go."""
     ship(spark)
-    out = identify(docs, learn(docs)).where(F.col("lang_pred") != UNKNOWN).select(F.col("id").alias("__id")).distinct()
-    return docs.join(out, docs["doc_id"] == out["__id"], "left_semi")
+    sent = spark.sparkContext.broadcast(learn(docs))
+    return keep_rows(docs, "text", lambda texts: [x[0] != UNKNOWN for x in sent.value.predict(texts)])

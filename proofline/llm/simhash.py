@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, ship, written
+from .common import load, null_safe_join, ship, written
 from .components import connected_components
 
 #: Differing bits at which two fingerprints still link. They touch 3 of 8 bytes at most: 5 are shared.
@@ -173,7 +173,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates."""
+    """Keep the document of smallest id of each group of near-duplicates; of a group that has no ids, every row."""
     ship(spark)
-    parts = near_duplicates(docs).select(F.col("id").alias("__id"), "component_id").where("__id = component_id").select("__id").distinct()
-    return docs.join(parts, docs["doc_id"] == parts["__id"], "left_semi")
+    first = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
+    return null_safe_join(docs, first, ["doc_id"], "left_semi")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, ship, unsigned_crc
+from .common import keep_rows, load, ship, unsigned_crc
 
 #: Labelled rows that are learned from: at most so many of each label, whole texts.
 TRAIN_ROWS = 1_500
@@ -162,6 +162,9 @@ class Model:
     def features(self, scores: list[float]) -> np.ndarray:
         return np.array([1.0, max(scores, default=0.0), math.log1p(sum(scores)), float(bool(scores))])
 
+    def score_text(self, text: str) -> float:
+        return round(self.score_of([c[2] for c in self.clauses(text)]), 9)
+
     def score_of(self, scores: list[float]) -> float:
         z = float(self.coefficients @ (self.features(scores) / self.scale))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -321,5 +324,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted to be toxic."""
     ship(spark)
-    out = toxicity(docs, learn(docs, load(spark, sf_dir, "labels"))).where("predicted = 1").select(F.col("id").alias("__id"))
-    return docs.join(out, docs["doc_id"] == out["__id"], "left_anti")
+    sent = spark.sparkContext.broadcast(learn(docs, load(spark, sf_dir, "labels")))
+    return keep_rows(docs, "text", lambda texts: [sent.value.score_text(t or "") < 0.5 for t in texts])
