@@ -15,7 +15,7 @@ from .common import load, ship, written
 #: Projected dimensions (even, for the chi-square distribution's closed form).
 DIMENSIONS = 8
 #: Chance, at least, with which a neighbour nearer than the k-th found would have come up before the search stops.
-CERTAINTY = 0.98
+CERTAINTY = 0.95
 #: Vectors a kd-tree and queries a task hold.
 SHARD_ROWS, QUERY_ROWS = 16_384, 4_096
 LEAF, STEP = 64, 64
@@ -82,7 +82,7 @@ class Tree:
                 rows = self.rows[order[active, done : done + many]].reshape(active.size, -1)
                 got = np.einsum("qnd,qd->qn", self.vectors[rows], q[active])
                 got[rows < 0] = -np.inf
-                self.verified += got.size
+                self.verified += int((rows >= 0).sum())
                 rows, got = np.hstack([best[lo + active], rows]), np.hstack([score[lo + active], got])
                 keep = np.argpartition(-got, width - 1, axis=1)[:, :width]
                 best[lo + active], score[lo + active] = np.take_along_axis(rows, keep, 1), np.take_along_axis(got, keep, 1)
