@@ -44,8 +44,8 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         tails = {n: cuts(n, capacity) for n in range(capacity)}
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
-            for k, text in enumerate(b.column(1)):
-                ids = own.encode(text.as_py() or "") + end
+            for k, ids in enumerate(own.encode_column(b.column(1))):
+                ids += end
                 n, at = len(ids) // 4, 0
                 for length in [capacity] * (n // capacity) + tails[n % capacity]:
                     for col, x in zip(rows, (k, at, length, zlib.crc32(ids[4 * at : 4 * (at + length)]), n), strict=True):
@@ -88,11 +88,11 @@ def harmonic_pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             bins.append(k)
             offsets.append(used[k])
             used[k] += n
-        part["sequence_id"], part["offset"] = part["__next"] + np.array(bins, np.int64), np.array(offsets, np.int64)
+        part["sequence_id"], part["offset"] = first + np.array(bins, np.int64), np.array(offsets, np.int64)
         return part[cols]
 
-    total = classes.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("__next"))
-    rest = placed.where(~whole).crossJoin(F.broadcast(total)).select(*rows.columns, "rank", "__next", F.lit(0).alias("__all"))  # total: one row
+    first = classes.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
+    rest = placed.where(~whole).select(*rows.columns, "rank", F.lit(0).alias("__all"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["sequence_id long", "offset long"])
     return even.select(*cols).unionByName(rest.groupBy("__all").applyInPandas(fill, schema))
 
