@@ -46,25 +46,37 @@ def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     least = full.min(1) if n else np.zeros(0, np.uint32)
     rest = full - least[:, None]
     at = -(-BLOCK * PERCENTILE // 100) - 1
-    width = np.array([int(x).bit_length() for x in np.partition(rest, at, 1)[:, at]], np.uint16) if n else np.zeros(0, np.uint16)
+    width = np.frexp(np.partition(rest, at, 1)[:, at].astype(np.float64))[1].astype(np.int64) if n else np.zeros(0, np.int64)
     over = (rest.astype(np.uint64) >> width[:, None].astype(np.uint64)).astype(np.uint32)
-    body: list[bytes] = [b""] * n
-    for w in np.unique(width):
+    row, place = np.nonzero(over)
+    many = np.bincount(row, minlength=n)
+    sizes = 8 + BLOCK // 8 * width + 5 * many
+    starts = np.cumsum(sizes) - sizes
+    body = np.zeros(int(sizes.sum()), np.uint8)
+    head = np.zeros(n, np.dtype([("least", "<u4"), ("width", "<u2"), ("many", "<u2")]))
+    head["least"], head["width"], head["many"] = least, width, many
+    body[starts[:, None] + np.arange(8)] = head.view(np.uint8).reshape(n, 8)
+    for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(rest[rows].view(np.uint8).reshape(rows.size, BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-        packed = np.packbits(bits.reshape(rows.size, -1), axis=1, bitorder="little")
-        for r, p in zip(rows.tolist(), packed, strict=True):
-            body[r] = p.tobytes()
-    blocks = []
-    for r in range(n):
-        place = np.flatnonzero(over[r])
-        blocks.append(struct.pack("<IHH", least[r], width[r], place.size) + body[r] + place.astype(np.uint8).tobytes() + over[r][place].astype("<u4").tobytes())
-    starts = np.cumsum([0, *map(len, blocks)])[:-1].astype("<u8") if n else np.zeros(0, "<u8")
+        low = rest[rows].view(np.uint8).reshape(rows.size, BLOCK, 4)[:, :, : -(-w // 8)]
+        bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
+        body[(starts[rows] + 8)[:, None] + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(rows.size, -1), axis=1, bitorder="little")
+    own, at_place, at_value = _exceptions(starts, width, many)
+    body[at_place] = place
+    body[at_value[:, None] + np.arange(4)] = over[row, place].astype("<u4")[:, None].view(np.uint8)
     docs = np.zeros(len(ids), np.dtype([("id", "<i8"), ("null", "u1"), ("n", "<u8")]))
     docs["id"] = [0 if x is None else x for x in doc_ids]
     docs["null"] = [x is None for x in doc_ids]
     docs["n"] = [len(x) // 4 for x in ids]
-    return b"".join([HEAD.pack(MAGIC, len(ids), n, flat.size), docs.tobytes(), starts.tobytes(), *blocks])
+    return b"".join([HEAD.pack(MAGIC, len(ids), n, flat.size), docs.tobytes(), starts.astype("<u8").tobytes(), body.tobytes()])
+
+
+def _exceptions(starts: np.ndarray, width: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(block, byte of the place, byte of the value) of every exception, blocks in order."""
+    own = np.repeat(np.arange(many.size), many)
+    k = np.arange(own.size) - np.repeat(np.cumsum(many) - many, many)
+    at = (starts + 8 + BLOCK // 8 * width)[own]
+    return own, at + k, at + many[own] + 4 * k
 
 
 def unpack_block(data: bytes, at: int) -> np.ndarray:
@@ -107,12 +119,11 @@ def _unpack_all(data: bytes, starts: np.ndarray) -> np.ndarray:
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         bits = np.unpackbits(take(s[rows] + 8, 32 * w), axis=1, bitorder="little").reshape(rows.size, BLOCK, w)
-        fill = np.zeros((rows.size, BLOCK, 32), np.uint8)
-        fill[:, :, :w] = bits
-        out[rows] = np.packbits(fill, axis=2, bitorder="little").view("<u4")[:, :, 0]
-    for r in np.flatnonzero(n).tolist():
-        at = s[r] + 8 + 32 * width[r]
-        out[r, raw[at : at + n[r]]] |= np.frombuffer(data, "<u4", n[r], at + n[r]) << np.uint32(width[r])
+        whole = np.packbits(bits, axis=2, bitorder="little")  # the bytes of each remainder, the lowest first
+        for k in range(whole.shape[2]):
+            out[rows] |= whole[:, :, k].astype(np.uint32) << np.uint32(8 * k)
+    own, at_place, at_value = _exceptions(s, width, n)
+    out[own, raw[at_place]] |= raw[at_value[:, None] + np.arange(4)].view("<u4")[:, 0] << width[own].astype(np.uint32)
     return (out + least[:, None]).ravel().astype("<u4")
 
 
@@ -136,9 +147,9 @@ def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_co
         part = 0
         for b in batches:
             part = b.column(0)[0].as_py() if b.num_rows else part
-            for doc_id, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc_id, found in zip(b.column(1).to_pylist(), own.encode_column(b.column(2)), strict=True):
                 names.append(doc_id)
-                ids.append(own.encode(text.as_py() or "") + end)
+                ids.append(found + end)
                 n += len(ids[-1])
                 if n >= 4 * file_ids:
                     yield close()

@@ -8,20 +8,22 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: A space between two other characters. For both kinds of tokenizer used here no token crosses the place
 #: before it, and what lies on either side has no say in how the other is split. A lone line end is alike.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
-UNSAFE = re.compile(r"\s\s|^\s|\s$")
 #: Letters, then other signs: always tokens of their own. Letters here are those Latin-1 has.
-WORD = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]+)")
+WORD = re.compile(r"(\n?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 #: Stand between new pieces, the first that a tokenizer gives one id: neither joins what is around it.
 MARKS = ("\n", " \x01")
-ODD = re.compile(r"\x01|\s")
 #: Remembered pieces and their most characters: bounds the memory of a worker, not what is encoded.
 KNOWN, LONGEST = 700_000, 64
-#: Code points split at a time.
-SLICE = 1 << 20
+#: Bytes a text must have to be cut, code points of its pieces, bytes of short texts taken together.
+SLICE, TOGETHER = 1 << 20, 1 << 20
+#: Texts taken together at most.
+BATCH = 1024
 
 
 class Encoder:
@@ -41,70 +43,118 @@ class Encoder:
         self.lower = self._ids("A").tobytes() == self._ids("a").tobytes()
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self._slice, slices(text)))
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _slice(self, text: str) -> bytes:
-        if self.lower and _latin(text):
-            text = text.lower()
-        if UNSAFE.search(text):
-            first, *pieces = SAFE.split(text)
-            out = [self._ids(first).tobytes()]
-        else:
-            pieces = ("\n" + text.replace("\n", " \n")).split(" ")
-            out = []
-        ids = list(map(self.known.get, pieces))
-        if None in ids:
-            self._fill(pieces, ids)
-        out += ids
-        if out and pieces and len(out) == len(pieces):
-            out[0] = out[0][len(self.line) :]
-        return b"".join(out)
-
-    def _fill(self, pieces: list[str], ids: list[bytes | None]) -> None:
-        """Puts the ids of unknown pieces into their places."""
-        known, new, parts = self.known, {}, {}
-        for x in {x for x, y in zip(pieces, ids, strict=True) if y is None}:
+        return next(self.encode_column(pa.array([text], pa.string())))
+
+    def encode_column(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a column, a null counting as empty. Short texts are encoded together."""
+        column = pc.fill_null(column, "")
+        sizes = np.asarray(pc.binary_length(column))
+        lo = 0
+        while lo < len(column):
+            hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo : lo + BATCH]), TOGETHER, "right")) + lo)
+            if sizes[lo] > SLICE:
+                yield b"".join(x for part in slices(column[lo].as_py()) for x in self._encode_rows(pa.array([part[1:] if part[:1] == " " else part]), part[:1] != " "))
+                hi = lo + 1
+            else:
+                yield from self._encode_rows(column.slice(lo, hi - lo), True)
+            lo = hi
+
+    def _encode_rows(self, rows: pa.Array, whole: bool) -> Iterator[bytes]:
+        """Ids of each row; unless `whole`, a row goes on from a text before, a space between."""
+        texts = rows
+        if self.lower:  # where lower-casing is what the tokenizer does, letter by letter
+            texts = pc.if_else(pc.match_substring_regex(texts, r"[^\x00-\x{ff}]"), texts, pc.utf8_lower(texts))
+        texts = pc.binary_join_element_wise("\n" if whole else "", pc.replace_substring(texts, "\n", " \n"), "")
+        lists = pc.split_pattern(texts, " ")
+        pieces = lists.values.dictionary_encode()
+        found, odd = self._find(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        flat = np.frombuffer(b"".join(found), "<u4")
+        sizes = np.array([len(x) for x in found], np.int64) // 4
+        which = pieces.indices.to_numpy()
+        starts, n = (np.cumsum(sizes) - sizes)[which], sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat(starts - ends + n, n) + np.arange(ends[-1] if ends.size else 0)]
+        bounds = np.concatenate([[0], ends])[lists.offsets.to_numpy()].tolist()
+        away = set()
+        if odd:
+            bad = np.flatnonzero(np.isin(which, odd))
+            away = set((np.searchsorted(lists.offsets.to_numpy(), bad, "right") - 1).tolist())
+        skip = len(self.line) // 4 if whole else 0
+        for k, (lo, hi) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            yield self._long_way(rows[k].as_py(), whole) if k in away else ids[lo + skip : hi].tobytes()
+
+    def _find(self, pieces: list[str]) -> tuple[list[bytes], list[int]]:
+        """(ids of each piece, numbers of those that a space could belong to, whose ids do not count)."""
+        known = self.known
+        ids = list(map(known.get, pieces))
+        left = [k for k, y in enumerate(ids) if y is None]
+        words: dict[str, None] = {}
+        parts: list[tuple[int, str, str]] = []
+        other, odd = [], []
+        for k in left:
+            x = pieces[k]
             if m := WORD.fullmatch(x):
-                parts[x] = stem, tail = m[1], "\n" + m[2]
-                new.update((y, b"") for y in (stem, tail) if y not in known)
+                if m[2]:
+                    stem, tail = m[1], "\n" + m[2]
+                    parts.append((k, stem, tail))
+                    if stem not in known:
+                        words[stem] = None
+                    if tail not in known:
+                        words[tail] = None
+                else:
+                    words[x] = None
+            elif _closed(x):
+                other.append(x)
             else:
-                new[x] = b""
-        self._encode(new)
-        read = lambda x: new[x] if x in new else known[x]
-        whole = {x: read(a) + read(b)[len(self.line) :] for x, (a, b) in parts.items()}
-        new |= whole
-        for k, x in enumerate(pieces):
+                odd.append(k)
+                ids[k] = b""
+        new = dict(zip(words, self._together(list(words)), strict=True))
+        new.update((x, self._ids(_form(x)).tobytes()) for x in other)
+        skip = len(self.line)
+        for k, stem, tail in parts:
+            a, b = new.get(stem), new.get(tail)
+            ids[k] = (known[stem] if a is None else a) + (known[tail] if b is None else b)[skip:]
+        for k in left:
             if ids[k] is None:
-                ids[k] = new[x]
+                ids[k] = new[pieces[k]]
         if len(known) < KNOWN:
-            known.update((k, v) for k, v in new.items() if len(k) <= LONGEST)
-
-    def _encode(self, new: dict[str, bytes]) -> None:
-        """Encodes the plain ones as one text with marks between, the others each for itself."""
-        form = {x: x if x.startswith("\n") else f" {x}" for x in new}
-        plain = [x for x in form if not ODD.search(x, x.startswith("\n"))] if self.mark else []
-        gap = "" if self.line else " "  # a line end is the mark itself, or as good as a space
-        ids = self._ids(self.mark.join([gap + x[1:] if x.startswith("\n") else form[x] for x in plain]))
-        at = np.flatnonzero(ids == self.mark_id) if plain else []
-        if len(at) == len(plain) - 1:
-            flat, ends = ids.tobytes(), [-4, *(4 * at).tolist(), 4 * ids.size]
-            new.update((x, self.line + flat[lo + 4 : hi] if x.startswith("\n") else flat[lo + 4 : hi]) for x, lo, hi in zip(plain, ends, ends[1:], strict=False))
-        else:
-            plain = []
-        for x in form.keys() - set(plain):
-            new[x] = self._ids(form[x]).tobytes()
-
-
-def _latin(text: str) -> bool:
-    """Whether lower-casing and normalising are what the tokenizers do, letter by letter."""
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+            known.update((x, y) for x, y in new.items() if len(x) <= LONGEST)
+            known.update((pieces[k], ids[k]) for k, _, _ in parts if len(pieces[k]) <= LONGEST)
+        return ids, odd
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters and of runs of signs, encoded as one text with marks between."""
+        if not words:
+            return []
+        if self.mark:
+            gap = "" if self.line else " "  # a line end is the mark itself, or as good as a space
+            ids = self._ids(self.mark.join([gap + x[1:] if x[0] == "\n" else " " + x for x in words]))
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) == len(words) - 1:
+                flat, ends, line = ids.tobytes(), [-4, *(4 * at).tolist(), 4 * ids.size], self.line
+                return [line + flat[lo + 4 : hi] if x[0] == "\n" else flat[lo + 4 : hi] for x, lo, hi in zip(words, ends, ends[1:], strict=False)]
+        return [self._ids(_form(x)).tobytes() for x in words]
+
+    def _long_way(self, text: str, whole: bool) -> bytes:
+        """Cuts only where it is safe, whatever the white space."""
+        first, *rest = SAFE.split(text)
+        out = [self._ids(first if whole else " " + first)]
+        out += [np.frombuffer(self.known[x], "<u4") if x in self.known else self._ids(" " + x) for x in rest]
+        return np.concatenate(out).astype("<u4").tobytes()
+
+
+def _form(piece: str) -> str:
+    """What a piece stands for in a text."""
+    return piece if piece.startswith("\n") else f" {piece}"
+
+
+def _closed(piece: str) -> bool:
+    """Whether a piece, but for a line end before it, has characters and neither begins nor ends with white space."""
+    body = piece[1:] if piece.startswith("\n") else piece
+    return bool(body) and not body[0].isspace() and not body[-1].isspace()
 
 
 def slices(text: str) -> Iterator[str]:

@@ -1,5 +1,6 @@
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -24,6 +25,8 @@ def test_ids_are_those_of_the_whole_text(name, monkeypatch):
     monkeypatch.setattr(tokens, "SLICE", 50)
     long = "Some words, of a text.\nThat goes on " * 40
     assert e.encode(long) == whole(long)
+    texts = [long, "a", None, "x  y", " b c", "\n\n\nq", long[:40], "Été\nÀ", ""]
+    assert list(e.encode_column(pa.array(texts))) == [whole(t or "") for t in texts]
     monkeypatch.setattr(tokens, "KNOWN", 0)
     e.known.clear()
     assert e.encode(long) == whole(long) and e.encode("") == b""
