@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import load, running_sum, ship, written
-from .tokens import encoder
+from .tokens import KNOWN, encoder
 
 CAPACITY = 2048
 END_ID = 1
+#: Pieces of text a worker remembers as the pipeline's last stage, in executors that have done the others.
+REMEMBERED_LAST = 400_000
 
 
 def sizes(capacity: int) -> np.ndarray:
@@ -35,12 +37,12 @@ def cuts(n: int, capacity: int) -> list[int]:
     return out
 
 
-def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, remembered: int = KNOWN) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens): each document's ids, cut to class sizes. Written to the shared folder."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(tokenizer, remembered), np.array([end_id], "<u4").tobytes()
         tails = {n: cuts(n, capacity) for n in range(capacity)}
         for b in batches:
             rows: list[list] = [[], [], [], [], []]
@@ -97,13 +99,13 @@ def harmonic_pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return even.select(*cols).unionByName(rest.groupBy("__all").applyInPandas(fill, schema))
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, remembered: int = KNOWN) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
     A null or empty text is the end id alone. Repeated rows are packed as often as they stand; a null id stays
     null. An empty table gives no rows; further columns do not matter.
     """
-    return harmonic_pack(pieces(docs, tokenizer, id_col, text_col, end_id, capacity), capacity)
+    return harmonic_pack(pieces(docs, tokenizer, id_col, text_col, end_id, capacity, remembered), capacity)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,4 +115,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left: the pieces, with their sequences and places in them."""
     ship(spark)
-    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED_LAST)

@@ -32,7 +32,8 @@ class Encoder:
     `known` has the ids of pieces by what follows their space, or by the piece with its line end.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = KNOWN) -> None:
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -117,7 +118,7 @@ class Encoder:
         for k in left:
             if ids[k] is None:
                 ids[k] = new[pieces[k]]
-        if len(known) < KNOWN:
+        if len(known) < self.most:
             known.update((x, y) for x, y in new.items() if len(x) <= LONGEST)
             known.update((pieces[k], ids[k]) for k, _, _ in parts if len(pieces[k]) <= LONGEST)
         return ids, odd
@@ -167,5 +168,5 @@ def slices(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, most: int = KNOWN) -> Encoder:
+    return Encoder(path, most)
