@@ -76,7 +76,11 @@ class Limiter(StatefulProcessor):
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RATE_WINDOW_MS, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
-    """rate_limit() of a stream: processing time, no watermark; needs the RocksDB state store."""
+    """rate_limit() of a stream: processing time, no watermark; needs the RocksDB state store.
+
+    As state has a time to live, batches without data go on; a query that is to end with its input (availableNow)
+    needs spark.sql.streaming.noDataMicroBatches.enabled to be false.
+    """
     given = requests.select(key, order, at)
     schema = T.StructType([*given.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()), T.StructField("retry_after_seconds", T.LongType())])
     return given.groupBy(key).transformWithStateInPandas(Limiter(limit, window_ms, key, at, order), schema, "Update", "ProcessingTime")
