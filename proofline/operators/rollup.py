@@ -52,7 +52,8 @@ def override_unreviewable(quality: Column, checks: Column, summary: Column) -> d
 
 def explode_checks(reports: DataFrame, on: str = "filename_key") -> DataFrame:
     """One row a check: (on, check_seq, the check's fields), check_seq keeping the order."""
-    return reports.select(on, F.posexplode("checks").alias("check_seq", "check")).select(on, "check_seq", "check.*")
+    numbered = F.transform("checks", lambda c, k: F.struct(k.alias("check_seq"), c.alias("check")))  # exploded as they are, they would be made again for each field
+    return reports.select(on, F.explode(numbered).alias("_c")).select(on, "_c.check_seq", "_c.check.*")
 
 
 def verdict_rank(verdict: Column) -> Column:
