@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .common import load, null_safe_join, ship, written
 from .components import connected_components
+from .shingles import shingle_components
 
 #: Differing bits at which two fingerprints still link. They touch 3 of 8 bytes at most: 5 are shared.
 MAX_BITS = 3
@@ -173,7 +174,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near-duplicates; of a group that has no ids, every row."""
+    """Keep the document of smallest id of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
     ship(spark)
-    first = near_duplicates(docs).where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("doc_id")).distinct()
+    given = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("hash"), "text")
+    first = shingle_components(given).groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
     return null_safe_join(docs, first, ["doc_id"], "left_semi")
