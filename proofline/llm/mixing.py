@@ -147,9 +147,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The words that the mix takes: each document's text becomes its taken spans, one a line, epoch by epoch."""
     ship(spark)
     _, spans = mix(docs)
-    spans = spans.groupBy("doc_id", "hash").agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n_words"))).alias("__spans"))
-    spans = spans.withColumnRenamed("hash", "__hash")
-    out = null_safe_join(docs.withColumn("__hash", F.xxhash64("text")), spans, ["doc_id", "__hash"])
+    spans = spans.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n_words"))).alias("__spans"))
+    spans = spans.withColumnsRenamed({k: f"__{k}" for k in KEYS[1:]})
+    # Numbers of sources and of rows of equal id, text and source as mix() gives them; which of such rows has which number does not matter.
+    ids = docs.select("source").distinct().withColumn("__source_id", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).cast("long"))
+    rows = null_safe_join(docs.withColumn("__hash", F.xxhash64("text")), written(ids), ["source"])
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__hash", "__source_id").orderBy("doc_id")))
+    out = null_safe_join(rows, spans, ["doc_id", *(f"__{k}" for k in KEYS[1:])])
     at, names = docs.columns.index("text"), docs.columns
     chars = names.index("n_chars")
 

@@ -74,3 +74,14 @@ def test_stage_keeps_only_taken_words(spark):
         n = len(re.findall(r"[^\x20\x09-\x0D]+", out[r.doc_id].text)) if r.doc_id in out else 0
         assert n == r.taken
         assert r.doc_id not in out or out[r.doc_id].n_chars == len(out[r.doc_id].text)
+
+
+def test_stage_gives_repeated_rows_their_own_words(spark):
+    text = " ".join(f"w{k}" for k in range(1000))
+    rows = [(7, text, "en", "a", 0)] * 4 + [(7, text, "fr", "b", 0), (7, text, "fr", None, 0), (None, text, "en", "a", 0), (None, text, "en", "a", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    out = mixing_stage(spark, df, "").collect()
+    got = sorted((r.doc_id is None, count(r.text)) for r in out)
+    assert got == sorted((r.doc_id is None, r.taken) for r in taken_words(*mix(df)).collect() if r.taken)
+    assert all(n <= 2 * 1000 for _, n in got)
