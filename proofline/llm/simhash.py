@@ -10,8 +10,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import load, null_safe_join, ship, written
+from .common import load, ship, written
 from .components import connected_components
 from .shingles import shingle_components
 
@@ -174,8 +175,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of texts whose five-word shingles have a similarity of 0.8 or more."""
+    """Keep one row of each group of texts whose five-word shingles have a similarity of 0.8 or more.
+
+    It is the row of smallest id, null last, then of smallest hash; of rows equal in all columns, any one.
+    """
     ship(spark)
-    given = docs.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("key"), F.xxhash64("text").alias("hash"), "text")
-    first = shingle_components(given).groupBy("root").agg(F.min("id").alias("doc_id")).select("doc_id").distinct()
-    return null_safe_join(docs, first, ["doc_id"], "left_semi")
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # a hash passes over nulls
+    given = docs.select(F.col("doc_id").alias("id"), key.alias("key"), F.xxhash64("text").alias("hash"), "text")
+    first = shingle_components(given).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    rows = docs.withColumn("__key", key).join(first.select(F.col("first.key").alias("__key")), "__key", "left_semi")
+    again = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
+    return rows.withColumn("__again", again).where("__again = 1").select(*docs.columns)

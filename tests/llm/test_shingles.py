@@ -69,3 +69,11 @@ def test_similar_sets_share_a_prefix_shingle():
         if 5 * both >= 4 * (x.size + y.size - both):
             assert np.intersect1d(prefix(x, common, rank), prefix(y, common, rank)).size
     assert shingle_set(b"").size == 0 and shingle_set(b"a b").size == 1 and shingle_set(b"a b c d e f").size == 2
+
+
+def test_stage_keeps_one_row_of_each_group(spark):
+    a, b, c = ("alpha beta gamma delta epsilon " + x for x in ("one", "two", "three"))
+    rows = [(1, a, "en"), (1, a, "en"), (1, a, None), (2, b, "en"), (1, b, "en"), (None, c, "en"), (None, c, "en"), (None, c, "fr"), (None, a, "en"), (3, None, "en"), (4, "", "en")]
+    docs = spark.createDataFrame([(*r, "s", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in near_duplicate_stage(spark, docs, "").collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (1, b), (None, c), (3, None)], key=str)
