@@ -31,6 +31,7 @@ NEGATION_SCOPE, TARGET_SCOPE = 3, 4
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
+LETTERS = re.compile(r"[^\W\d_]*")
 
 #: Seeds, in English, French, German and Spanish; learned entries come to them.
 THREATS = ["kill", "murder", "stab", "strangle", "tuerai", "tuer", "umbringen", "töten", "matar", "mataré"]
@@ -132,32 +133,35 @@ class Model:
         return got or ("o", 0.0)
 
     def clauses(self, text: str) -> list[tuple[int, int, float, str]]:
-        """(start, end, score, output symbols) of each clause of the lower-cased text that has an insult or threat."""
-        low, out, done = text.lower(), [], 0
+        """(start, end, score, output symbols) of each clause of the lower-cased text that has an insult or threat.
+
+        A long clause is read in windows that end between words, the grammar's state going on to the next.
+        """
+        low, out, done, state = text.lower(), [], 0, 0
         for end, n in self.finder.iter(low):
             at = end + 1 - n
             if at < done or (at and (low[at - 1].isalpha())):
                 continue
             start = done
-            for m in CLAUSE.finditer(low, max(done, at - REACH), at):
-                start = m.end()
-            start = max(start, at - REACH) if start == done else start
-            close = CLAUSE.search(low, end + 1)
-            stop = min(close.start() if close else len(low), end + 1 + REACH)
-            score, symbols = self.score_clause(low[start:stop])
+            for m in CLAUSE.finditer(low, done, at):
+                start, state = m.end(), 0
+            limit = LETTERS.match(low, min(len(low), end + 1 + REACH)).end()
+            close = CLAUSE.search(low, end + 1, limit)
+            stop = close.start() if close else limit
+            score, symbols, state = self.score_clause(low[start:stop], state)
             if score:
                 out.append((start, stop, score, symbols))
             done = stop
         return out
 
-    def score_clause(self, clause: str) -> tuple[float, str]:
-        state, total, written = 0, 0.0, []
+    def score_clause(self, clause: str, state: int = 0) -> tuple[float, str, int]:
+        total, written = 0.0, []
         for m in WORD.finditer(clause):
             symbol, weight = self.read(m[0])
             state, out = GRAMMAR.step(state, symbol)
             total += WEIGHTS.get(out, 0.0) * weight
             written.append(out)
-        return total, "".join(written)
+        return total, "".join(written), state
 
     def features(self, scores: list[float]) -> np.ndarray:
         return np.array([1.0, max(scores, default=0.0), math.log1p(sum(scores)), float(bool(scores))])
@@ -171,7 +175,7 @@ class Model:
 
 
 FEATURES = 4
-#: Characters a clause reaches to either side of an entry at most (texts may have no stops).
+#: Characters a window reaches beyond an entry, and on to the end of a word (texts may have no stops).
 REACH = 2_000
 
 

@@ -45,6 +45,21 @@ def test_clauses_weigh_context():
     assert m.clauses("") == [] and len(m.clauses("dolt " * 5000)) > 1
 
 
+def test_long_clauses_are_cut_between_words_and_read_on():
+    m = X.Model({"dolt": 2.0, "dolts": 2.0})
+    symbols = lambda t: "".join(c[3] for c in m.clauses(t))
+    for k in range(12):  # an insult at every place across the first window's end
+        text = "dolt " + "a" * (k + 1) + " malt" * ((X.REACH - 12) // 5) + " dolt ale dolts"
+        assert symbols(text).count("I") == 3, k
+    assert symbols("dolt " + "malt " * 395 + "x " * 11 + "not dolt") == "I" + "o" * 406 + "Ni"
+    for k in range(20):
+        text = "dolt" + " malt" * 397 + " x" * k + " is not a dolt"
+        assert symbols(text) == "I" + "o" * (398 + k) + "Noi", k
+    assert symbols("she said " + "malt " * 3000 + "dolt") == "YR" + "o" * 3000 + "q"
+    assert symbols("she said dolt " + "malt " * 3000 + "dolt. dolt")[-2:] == "qI"
+    assert symbols("never " * 1 + "malt " * 900 + "dolt").endswith("oI")
+
+
 def test_copies_bring_no_words_in():
     rng = random.Random(3)
     copied = doc(rng, False, 60).replace("ale", "quixote") + " quixote dolt"
