@@ -112,7 +112,7 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFr
 
     pairs = written(pairs)
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    where = sets.join(nodes, "node").groupBy("node").agg(F.min("hash").alias("hash")).select("hash").distinct()
+    where = written(sets.join(nodes, "node").groupBy("node").agg(F.min("hash").alias("hash")).select("hash").distinct())  # its size is known then
     known = written(docs.join(where, "hash", "left_semi").select("text").mapInArrow(read, "node long, shingles binary").dropDuplicates(["node"]))
     both = pairs.join(known.toDF("a", "x"), "a").join(known.toDF("b", "y"), "b").select("a", "b", "x", "y")
     return both.mapInArrow(check, "a long, b long")
