@@ -35,10 +35,12 @@ LISTS = {"ul", "ol", "dl", "table", "menu", "select"}
 TAG_COST = {"article": 3.0, "main": 2.5, "nav": -9.0, "aside": -9.0, "footer": -9.0, "header": -6.0, "form": -9.0, "menu": -6.0, "fieldset": -9.0, "dialog": -9.0}
 HINT_COST = -9.0
 HINT_BAD = re.compile(
-    r"^(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|popup|modal|overlay|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|"
-    r"toolbar|comment\w*|disqus|respon[ds]\w*|repl(?:y|ies)|discussion|feedback|reviews?|share|sharing|social\w*|related\w*|recommend\w*|subscribe\w*|newsletter\w*|signup|login|search\w*|form\w*|widget\w*|pagination|pager|copyright|legal|"
-    r"disclaimer|skip\w*|hidden|navigation|complementary|contentinfo|outbrain|taboola)$"
+    r"^(?:ads?|advert\w*|adv|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|popup|modal|overlay|navs?|navbars?|navmenu|navlinks?|navigations?|menu\w*|breadcrumb\w*|sidebar\w*|side|aside|footer\w*|foot|header|masthead|topbar|"
+    r"toolbar|comment\w*|disqus|respond|responds|responses?|repl(?:y|ies)|discussion|feedback|share|sharing|social\w*|related\w*|recommend\w*|subscribe\w*|newsletter\w*|signup|login|search\w*|widget\w*|pagination|pager|copyright|legal|"
+    r"disclaimer|skip\w*|hidden|complementary|contentinfo|outbrain|taboola)$"
 )
+#: Names that articles have too: they cost less in an article or main.
+HINT_LOOSE, LOOSE_COST = re.compile(r"^(?:reviews?|forms?)$"), -1.5
 HINT_GOOD = re.compile(r"^(?:article\w*|content|main|post|entry|story|body|text|prose|maincontent)$")
 WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
@@ -80,6 +82,7 @@ def _hint_cost(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
     cost = 0.0 if tag == "header" and inside_article else TAG_COST.get(tag, 0.0)
     if tag in ("html", "body"):
         return cost
+    within = inside_article or tag in ("article", "main")
     for key in ("class", "id", "role"):
         for name in attrs.get(key, "").split():
             words = [w.lower() for w in WORDS_IN_NAME.findall(name)] + [name.lower().replace("-", "").replace("_", "")]
@@ -88,7 +91,8 @@ def _hint_cost(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
                 continue  # the article's own heading
             if {"has", "with", "no"} & set(words):
                 continue  # says what else the page has
-            cost += HINT_COST if bad else 1.5 * good
+            loose = any(HINT_LOOSE.match(w) for w in words)
+            cost += HINT_COST if bad or loose and not within else LOOSE_COST if loose else 1.5 * good
     return cost
 
 

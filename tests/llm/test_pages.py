@@ -31,6 +31,21 @@ def test_articles(page, want):
     assert main_text(page).split("\n") == want
 
 
+@pytest.mark.parametrize("name", ["table-responsive", "embed-responsive", "formatted", "formula", "navy", "review", "reviews"])
+def test_names_that_only_begin_like_boilerplate(name):
+    rng = random.Random(4)
+    a, b, c = (para(rng) for _ in range(3))
+    assert main_text(f'<body><article><p>{a}</p><div class="{name}"><p>{b}</p></div><p>{c}</p></article></body>').split("\n") == [a, b, c]
+    assert main_text(f'<body><article class="{name}"><p>{a}</p><p>{b}</p></article></body>').split("\n") == [a, b]
+
+
+@pytest.mark.parametrize("name", ["nav", "navbar", "site-navigation", "respond", "responses", "contact-form", "forms", "reviews"])
+def test_names_of_boilerplate(name):
+    rng = random.Random(4)
+    a, b, c = (para(rng) for _ in range(3))
+    assert main_text(f'<body><article><p>{a}</p><p>{b}</p></article><div class="{name}"><p>{c}</p></div></body>').split("\n") == [a, b]
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p><!--") == ""
     for page in ("<", "<p", "a < b", "</p></div>", "<a <b <c", "<![CDATA[x", "<script>", '<p class="', "<p>x</article></html></p>", "<p/>", "&#xD800; &#0;", "<svg/>x"):
