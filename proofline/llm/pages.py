@@ -24,8 +24,11 @@ SPACE = re.compile(r"\s+")
 
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements without text of the page: raw ones end at their own closing tag only.
-RAW = set("script style textarea noscript template iframe noframes noembed xmp svg math object canvas audio video select button".split())
+#: Elements without text of the page: raw ones end at their own closing tag only, or with the page.
+RAW = set("script style textarea noframes noembed xmp".split())
+#: These too, but one that is never closed ends at the next block or with what it stands in.
+UNSEEN = set("noscript template iframe svg math object canvas audio video select button".split())
+UNSEEN_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|noframes|noembed|xmp)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(UNSEEN))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S | re.I)
 SILENT = {"head", "title"}
 #: Closed by the next of their kind, or by a block.
 IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -96,6 +99,21 @@ def _hint_cost(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
     return cost
 
 
+def _closed(page: str) -> dict[int, int]:
+    """Where each unseen element that is closed ends, by where it starts; a closing tag ends the latest of its name."""
+    out: dict[int, int] = {}
+    open_: dict[str, list[int]] = {}
+    for m in UNSEEN_TAG.finditer(page):
+        if not m[3] or m[0].endswith("/>"):
+            continue
+        starts = open_.setdefault(m[3].lower(), [])
+        if not m[2]:
+            starts.append(m.start())
+        elif starts:
+            out[starts.pop()] = m.end()
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: text between block tags, white space run together, blanks left out."""
     out: list[Block] = []
@@ -105,6 +123,8 @@ def blocks(page: str) -> list[Block]:
     text: list[str] = []
     link_chars = 0
     links = 0
+    ends: dict[int, int] | None = None
+    unseen = 0  # how many elements are open around one that is unseen and never closed
 
     def flush() -> None:
         nonlocal text, link_chars
@@ -117,12 +137,15 @@ def blocks(page: str) -> list[Block]:
 
     def say(part: str) -> None:
         nonlocal link_chars
-        if part:
+        if part and not unseen:
             text.append(part)
             if links:
                 link_chars += len(part.strip())
 
     def close(k: int) -> None:
+        nonlocal unseen
+        if k < unseen:
+            unseen = 0
         for x in stack[k:]:
             open_[x.tag] -= 1
         del stack[k:]
@@ -140,6 +163,8 @@ def blocks(page: str) -> list[Block]:
                 say(tag[9:-3])
             continue
         name = NAME.match(tag)[1].lower()
+        if name in BLOCKS and name != "option":
+            unseen = 0
         if tag[1] == "/":
             if name in BLOCKS:
                 flush()
@@ -153,6 +178,13 @@ def blocks(page: str) -> list[Block]:
             at = end.end() if end else n
             text.append(" ")
             continue
+        if name in UNSEEN and not tag.endswith("/>"):
+            ends = _closed(page) if ends is None else ends
+            at = ends.get(m.start(), at)
+            if m.start() not in ends:
+                unseen = unseen or len(stack)
+            text.append(" ")
+            continue
         if name in VOID:
             if name == "hr":
                 flush()

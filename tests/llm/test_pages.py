@@ -46,6 +46,16 @@ def test_names_of_boilerplate(name):
     assert main_text(f'<body><article><p>{a}</p><p>{b}</p></article><div class="{name}"><p>{c}</p></div></body>').split("\n") == [a, b]
 
 
+@pytest.mark.parametrize("name", "button select svg canvas object audio video iframe noscript template".split())
+def test_unclosed_elements_do_not_end_the_page(name):
+    rng = random.Random(6)
+    a, b, c = (para(rng) for _ in range(3))
+    assert main_text(f"<article><p>{a}</p><p>{b} <{name} class=x>no</p><p>{c}</p></article>").split("\n") == [a, b, c]
+    assert main_text(f"<article><p>{a} <b><{name}>no</b> yes</p><{name}>no<p>{b} <{name}>no</{name}></p><p>{c}</p></article>").split("\n") == [a + " yes", b, c]
+    assert main_text(f"<article><p>{a}</p><{name}><p>no</p><{name}>no</{name}></{name}><p>{b}</p></article>").split("\n") == [a, b]
+    assert main_text(f"<article><p>{a}</p><p>{b}</p><script><p>no</p>").split("\n") == [a, b]
+
+
 def test_odd_pages():
     assert main_text(None) == main_text("") == main_text("<p></p><!--") == ""
     for page in ("<", "<p", "a < b", "</p></div>", "<a <b <c", "<![CDATA[x", "<script>", '<p class="', "<p>x</article></html></p>", "<p/>", "&#xD800; &#0;", "<svg/>x"):
