@@ -44,6 +44,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+def fold(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already; 0 of none."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, hashes.size, SLICE):
+        counts += np.unpackbits(hashes[at : at + SLICE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > hashes.size, bitorder="little").view(np.uint64)[0])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """(id, fp long) of every row; a null or empty text has fingerprint 0. Any other column is left out."""
 
@@ -177,12 +185,15 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each group of texts whose five-word shingles have a similarity of 0.8 or more.
 
-    It is the row of smallest id, null last, then of smallest hash; of rows equal in all columns, any one.
+    Fingerprints of five-word shingles, linked by the positional index, give the first pairs; those they miss come from
+    the shingles, which verify all. The row kept is that of smallest id, null last, then of smallest hash; of rows
+    equal in all columns, any one. Null and wordless texts are one group. A text counts whole, whatever its length.
+    An empty table stays empty; columns other than doc_id and text may have any name but __key and __again.
     """
     ship(spark)
     key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])  # a hash passes over nulls
     given = docs.select(F.col("doc_id").alias("id"), key.alias("key"), F.xxhash64("text").alias("hash"), "text")
-    first = shingle_components(given).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
+    first = shingle_components(given, fold, links).groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("first"))
     rows = docs.withColumn("__key", key).join(first.select(F.col("first.key").alias("__key")), "__key", "left_semi")
     again = F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))
     return rows.withColumn("__again", again).where("__again = 1").select(*docs.columns)
