@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep_rows, load, ship, unsigned_crc
+from .common import keep_rows, load, ship, small, unsigned_crc
 from .letters import MULT, Words, mixed, ngrams
 
 #: Weights are held by hash of the feature.
@@ -23,7 +23,9 @@ EPOCHS, RATE, MINI = 3, 0.3, 40
 #: Largest weight of a transition either way, so that a switch stays possible when each text learned from has one language.
 MOST_TRANSITION = 2.0
 #: Words scored at a time, whatever the length of the text.
-SLICE = 1 << 16
+SLICE = 1 << 14
+#: Languages that may be learned: bounds the model (BUCKETS x languages x 4 bytes); more are an error.
+MOST_LANGUAGES = 256
 UNKNOWN = "und"
 
 
@@ -186,11 +188,15 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from documents whose crc32(id) mod 4 is not 2, at most `rows` of each language, chosen by hash of the id."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     known = known.where((F.coalesce(unsigned_crc(F.col("id")), F.lit(0)) % 4 != 2) & F.col("lang").isNotNull())
-    counts = known.where(F.col("text").isNotNull()).groupBy("lang").count()
+    known = known.where(F.col("text").isNotNull())
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     chance = (F.xxhash64(F.col("id")).bitwiseAND(F.lit((1 << 30) - 1)) / (1 << 30)).cast("double")
-    some = known.where(F.col("text").isNotNull()).withColumn("chance", chance).join(counts, "lang").where(F.col("chance") < F.lit(2.0 * rows) / F.col("count"))
+    take = F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(counts.items()) for x in (k, 2.0 * rows / n)]), F.col("lang")) if counts else F.lit(0.0)
+    some = known.withColumn("chance", chance).where(F.col("chance") < take)  # before any shuffle: 2 x rows a language, about
     w = Window.partitionBy("lang").orderBy("chance", "id", F.xxhash64("text"))
-    got = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows).select("text", "lang").toPandas()
+    got = some.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows).orderBy("lang", "k").select("text", "lang").toPandas()
     return fit(got["text"].tolist(), got["lang"].tolist())
 
 
@@ -204,7 +210,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     sent = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages x 4 bytes, whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             out = sent.value.predict(b.column(1).to_pylist())
             cols = [pa.array([x[k] for x in out], t) for k, t in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["id", "lang_pred", "score", "n_words"])
