@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -52,12 +54,27 @@ def unsigned_crc(text: Column) -> Column:
     return F.crc32(text.cast("string").cast("binary"))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches; what Arrow and the C library keep for reuse is given back at the end of the task."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system: workers live on from task to task, and executors have little room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str | None]], list[bool]]) -> DataFrame:
     """Rows whose text `keep` accepts, with all columns as they are: no shuffle, whatever ids are null or repeated."""
     at, names, schema = docs.columns.index(text_col), docs.columns, docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             yield b.filter(pa.array(keep(b.column(at).to_pylist()), pa.bool_())).rename_columns(names)
 
     return docs.mapInArrow(run, schema)

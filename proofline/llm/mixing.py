@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORDS, load, null_safe_join, running_sum, ship, written
+from .common import WORDS, load, null_safe_join, running_sum, ship, small, written
 
 #: Words a block has (the last of a source may have fewer).
 BLOCK = 64
@@ -158,7 +158,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     chars = names.index("n_chars")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             texts = []
             for text, cuts in zip(b.column(at).cast(pa.binary()), b.column(len(names)), strict=True):
                 words = text.as_py().split()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, running_sum, ship, written
+from .common import load, running_sum, ship, small, written
 from .tokens import KNOWN, encoder
 
 CAPACITY = 2048
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end = encoder(tokenizer, remembered), np.array([end_id], "<u4").tobytes()
         tails = {n: cuts(n, capacity) for n in range(capacity)}
-        for b in batches:
+        for b in small(batches, 4096):
             rows: list[list] = [[], [], [], [], []]
             for k, ids in enumerate(own.encode_column(b.column(1))):
                 ids += end
