@@ -58,9 +58,14 @@ def pack(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     body[starts[:, None] + np.arange(8)] = head.view(np.uint8).reshape(n, 8)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        low = rest[rows].view(np.uint8).reshape(rows.size, BLOCK, 4)[:, :, : -(-w // 8)]
-        bits = np.unpackbits(low, axis=2, bitorder="little")[:, :, :w]
-        body[(starts[rows] + 8)[:, None] + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(rows.size, -1), axis=1, bitorder="little")
+        low = (rest[rows] & np.uint32((1 << w) - 1)).reshape(-1, 8).astype(np.uint64)
+        part = np.zeros((low.shape[0], w), np.uint8)  # eight remainders are w bytes
+        for j in range(8):
+            at, shift = divmod(j * w, 8)
+            x = low[:, j] << np.uint64(shift)
+            for k in range(-(-(shift + w) // 8)):
+                part[:, at + k] |= (x >> np.uint64(8 * k)).astype(np.uint8)
+        body[(starts[rows] + 8)[:, None] + np.arange(BLOCK // 8 * w)] = part.reshape(rows.size, -1)
     own, at_place, at_value = _exceptions(starts, width, many)
     body[at_place] = place
     body[at_value[:, None] + np.arange(4)] = over[row, place].astype("<u4")[:, None].view(np.uint8)
@@ -118,10 +123,17 @@ def _unpack_all(data: bytes, starts: np.ndarray) -> np.ndarray:
     out = np.zeros((s.size, BLOCK), np.uint32)
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
-        bits = np.unpackbits(take(s[rows] + 8, 32 * w), axis=1, bitorder="little").reshape(rows.size, BLOCK, w)
-        whole = np.packbits(bits, axis=2, bitorder="little")  # the bytes of each remainder, the lowest first
-        for k in range(whole.shape[2]):
-            out[rows] |= whole[:, :, k].astype(np.uint32) << np.uint32(8 * k)
+        part = take(s[rows] + 8, 32 * w).reshape(-1, w)  # eight remainders are w bytes
+        low = np.empty((part.shape[0], 8), np.uint32)
+        for j in range(8):
+            at, shift = divmod(j * w, 8)
+            many = -(-(shift + w) // 8)
+            wide = np.uint32 if many <= 4 else np.uint64
+            x = part[:, at].astype(wide)
+            for k in range(1, many):
+                x |= part[:, at + k].astype(wide) << wide(8 * k)
+            low[:, j] = (x >> wide(shift)) & wide((1 << w) - 1)
+        out[rows] = low.reshape(rows.size, BLOCK)
     own, at_place, at_value = _exceptions(s, width, n)
     out[own, raw[at_place]] |= raw[at_value[:, None] + np.arange(4)].view("<u4")[:, 0] << width[own].astype(np.uint32)
     return (out + least[:, None]).ravel().astype("<u4")
