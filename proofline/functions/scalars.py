@@ -105,6 +105,22 @@ def http_error(status: Column, body: Column) -> Column:
     )
 
 
+def reader_error(status: Column, message: Column) -> Column:
+    """struct<kind, retryable> of a reading by the second reader that failed; without a status it is the connection's failure."""
+    def of(kind: str, again: bool) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(again).alias("retryable"))
+
+    return (
+        F.when(status.isin(401, 403), of("invalid key", False))
+        .when(status == 429, of("rate limited", True))
+        .when((status == 400) & message.rlike("(?i)credit|billing"), of("no credit", False))
+        .when(status >= 500, of("upstream", True))
+        .when(status.isNull() & message.rlike("(?i)timed? ?-?out"), of("timeout", True))
+        .when(status.isNull() & message.rlike("(?i)connect"), of("connection", True))
+        .otherwise(of("other", True))
+    )
+
+
 def dos_time(ts: Column) -> Column:
     """struct<time, date int> as archives have them: two-second steps, years from 1980."""
     year = F.greatest(F.year(ts), F.lit(1980)) - 1980

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import STATUTORY_WARNING
 from ..functions import scalars
-from ..operators import pictures, rollup, scores
+from ..operators import rollup, scores
 from ..operators.rules import verify_pairs
 from ..schemas import APPEARANCE, CHECK, LEGIBILITY, QUALITY, WARNING
 from ..sources import readers, sinks
@@ -77,14 +77,6 @@ def check_ids(d: DataFrame) -> DataFrame:
     return rollup.explode_checks(reports(d), "p_partkey").select("id").distinct()
 
 
-@query(PAIRS)
-def case_text(d: DataFrame) -> DataFrame:
-    r = reports(d).withColumn("report", F.struct("recommendation", "headline", "checks", "image_quality", "notes", "extraction_ms", "reader"))
-    application = F.struct(*[F.col(c).alias(c[2:]) for c in d.columns if c.startswith("a_")], F.lit(None).cast("string").alias("ttb_id"))
-    both = d.select("p_partkey", application.alias("application")).join(r.select("p_partkey", "report"), "p_partkey")
-    return both.select("p_partkey", sinks.report_text(F.col("application"), F.col("report"), F.lit("label.png"), F.timestamp_seconds(F.lit(0))).alias("text"))
-
-
 ITEMS = """
     SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax,
         CASE CAST(floor(l_extendedprice) AS BIGINT) % 9 WHEN 0 THEN 'fail' WHEN 1 THEN 'review' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'not_applicable' ELSE 'pass' END AS verdict
@@ -107,7 +99,7 @@ def _as_items(d: DataFrame) -> DataFrame:
     odd = F.col("l_orderkey") % 10
     rolled = _rolled(d).withColumn("error", F.when(odd == 0, "no picture"))
     rolled = rolled.withColumn("recommendation", F.when(odd > 1, F.col("recommendation")))
-    return rollup.item_status(rolled.withColumn("application_id", F.when(odd != 1, F.col("l_orderkey"))))
+    return rollup.item_status(rolled.withColumn("application_id", F.when((odd != 1) | (F.col("l_orderkey") % 3 == 0), F.col("l_orderkey"))))
 
 
 ITEM_SQL = f"SELECT l_orderkey, CASE WHEN l_orderkey % 10 = 0 THEN 'failed' WHEN l_orderkey % 10 = 1 THEN 'queued' ELSE {RECOMMEND} END AS state FROM ({COUNTS}) AS c"
@@ -123,7 +115,7 @@ def attention_items(d: DataFrame) -> DataFrame:
     return rollup.needs_attention(_as_items(d)).select("l_orderkey")
 
 
-@query(ITEMS, f"SELECT CAST(0 AS BIGINT) AS ready, count(*) FILTER (state = 'queued') AS unmatched FROM ({ITEM_SQL}) AS i")
+@query(ITEMS, f"SELECT count(*) FILTER (state = 'queued' AND l_orderkey % 3 = 0) AS ready, count(*) FILTER (state = 'queued' AND l_orderkey % 3 <> 0) AS unmatched FROM ({ITEM_SQL}) AS i")
 def ready_counts(d: DataFrame) -> DataFrame:
     return rollup.ready_counts(_as_items(d))
 
@@ -248,15 +240,6 @@ def _scorecard(a: DataFrame, b: DataFrame) -> DataFrame:
     return scores.scorecard(a, b, ["brand"]).withColumn("accuracy", F.round("accuracy", 9))
 
 
-@two(
-    "relative_contrast", "SELECT event_id, value + 1 AS warning FROM {events}", "SELECT event_id, value * 1.5 + 1 AS label FROM {events} WHERE event_id % 10 <> 0",
-    "SELECT event_id, round(warning / label, 9) AS relative, coalesce(warning / label < 0.7, false) AS faint FROM a LEFT JOIN b USING (event_id)",
-)
-def _relative(a: DataFrame, b: DataFrame) -> DataFrame:
-    ratio = F.when(F.col("label") > 0, F.col("warning") / F.col("label"))
-    return a.join(b, "event_id", "left").select("event_id", F.round(ratio, 9).alias("relative"), F.coalesce(ratio < 0.7, F.lit(False)).alias("faint"))
-
-
 @query("SELECT event_id, user_id, event_type, ts FROM {events}", "SELECT user_id, event_type, event_id FROM given QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1")
 def first_wins_dedupe(d: DataFrame) -> DataFrame:
     keyed = d.withColumn("id", F.concat_ws(":", "user_id", "event_type"))
@@ -298,17 +281,6 @@ def fixed_window_limit(d: DataFrame) -> DataFrame:
     return rate_limit(d, 2, 3_600_000, order="event_id").drop("at_ms")
 
 
-@query("SELECT doc_id, text FROM {documents}")
-def crc32_docs(d: DataFrame) -> DataFrame:
-    return d.select("doc_id", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
-
-
-@query("SELECT doc_id, lang, text FROM {documents}")
-def zip_bytes(d: DataFrame) -> DataFrame:
-    entries = F.array(F.lit("report.txt"), F.concat("lang", F.lit(".json"))), F.array(F.encode("text", "UTF-8"), F.encode("lang", "UTF-8"))
-    return d.select("doc_id", F.md5(sinks.zip_entries(*entries, F.timestamp_seconds(F.lit(1_700_000_000)))).alias("archive"))
-
-
 @query(
     "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN concat('27 CFR ', CAST(user_id AS STRING)) END AS citation, event_type AS rule, CASE WHEN event_id % 2 = 0 THEN CAST(event_id % 100 AS DOUBLE) / 100 END AS confidence FROM {events}",
     "SELECT event_id, concat_ws('   ', 'Regulation: ' || citation, 'Rule: ' || rule, 'Reading confidence: ' || CAST(CAST(floor(confidence * 100 + 0.5) AS BIGINT) AS STRING) || '%') AS line FROM given",

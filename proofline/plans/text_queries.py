@@ -108,12 +108,6 @@ def slug(d: DataFrame) -> DataFrame:
     return d.select("p_partkey", text.slug(F.col("name")).alias("slug"))
 
 
-@query("SELECT doc_id, text FROM {documents}")
-def wrap_text(d: DataFrame) -> DataFrame:
-    lines = text.wrap(F.col("text"), 70, "  ")
-    return d.select("doc_id", F.md5(lines).alias("wrapped"), F.size(F.split(lines, "\n")).alias("lines"))
-
-
 HEADERS = "SELECT page_id, concat(' ', replace(replace(url, '/', '_'), '.', ' - '), ' ') AS header FROM {pages}"
 
 

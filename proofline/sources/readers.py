@@ -16,24 +16,26 @@ from ..functions.scalars import beverage_type, bounded_text, normalise_header, s
 from ..functions.text import trimmed
 from ..schemas import APPLICATION, EXTRACTION
 
-FILED = ("applicationid", "brandname", "classtype", "alcoholcontent", "netcontents", "bottlername", "countryoforigin")
-
-
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All-string records under normalised headers: cells trimmed, missing ones empty, blank rows left out.
 
-    Quotes, doubled quotes, commas and line ends in cells are read as such; of equal headers the last counts.
-    `_line` keeps the rows' order within a file.
+    Quotes, doubled quotes, commas and line ends in cells are read as such; of equal headers the last counts. Each
+    file of a folder has its header; files whose headers differ are an error. `_line` keeps the rows' order within
+    a file.
     """
     raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     names = raw.columns
-    raw = raw.select(*[F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias("_line"))
+    raw = raw.select(*[F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias("_line"), F.col("_metadata.file_path").alias("_file"))
     filled = raw.where(~F.forall(F.array(*names), lambda c: c == ""))
-    head = filled.orderBy("_line").first()
-    if head is None:
+    heads = filled.groupBy("_file").agg(F.min(F.struct("_line", F.array(*names).alias("cells"))).alias("head")).select("_file", "head.*")
+    found = heads.select("cells").distinct().limit(2).collect()
+    if not found:
         return spark.createDataFrame([], "_line long")
-    headers = {normalise_header(head[c]): c for c in names if head[c]}
-    return filled.where(F.col("_line") > head["_line"]).select(*[F.col(c).alias(h) for h, c in headers.items()], "_line")
+    if len(found) > 1:
+        raise ValueError(f"files under {path} have different headers")
+    headers = {normalise_header(h): c for h, c in zip(found[0]["cells"], names, strict=True) if h}
+    rows = filled.join(heads.select("_file", F.col("_line").alias("_head")), "_file").where("_line > _head")
+    return rows.select(*[F.col(c).alias(h) for h, c in headers.items()], "_line")
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,13 +25,20 @@ LINE = 78
 
 
 def write_csv(rows: DataFrame, path: str, header: bool = True) -> None:
-    """Cells as csv_lines() guards them, CR LF between lines; one file a partition, each with the header."""
-    from pyspark.sql import Row
-
+    """Cells as csv_lines() guards them, CR LF between lines; a file for each partition with rows, each with the header."""
     lines = csv_lines(rows)
     if header:
-        names = rows.sparkSession.createDataFrame([Row(**{c: c for c in rows.columns})], T.StructType([T.StructField(c, T.StringType()) for c in rows.columns]))
-        lines = csv_lines(names).unionAll(lines).coalesce(1)
+        names = csv_lines(rows.sparkSession.range(1).select(*[F.lit(c).alias(c) for c in rows.columns])).first()[0]
+
+        def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            first = True
+            for b in batches:
+                if first and b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.array([names], b.column(0).type)], schema=b.schema)
+                    first = False
+                yield b
+
+        lines = lines.mapInArrow(headed, "line string")
     lines.write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
@@ -74,7 +83,7 @@ def report_text(application: Column, report: Column, filename: Column, at: Colum
 
     quality, notes = report["image_quality"], report["notes"]
     bullet = lambda items: F.array_join(F.transform(items, lambda x: wrap(F.concat(F.lit("- "), x), 74, "  ")), "\n")
-    poor = F.when((F.size(quality["issues"]) > 0) | quality["too_poor_to_review"], join(rule, F.lit("PHOTOGRAPH QUALITY"), rule, F.concat(F.lit("  Score: "), F.format_string("%.2f", quality["score"])), F.nullif(bullet(quality["issues"]), F.lit("")), F.lit("")))
+    poor = F.when(shows_quality(quality), join(rule, F.lit("PHOTOGRAPH QUALITY"), rule, F.concat(F.lit("  Score: "), F.format_string("%.2f", quality["score"])), F.nullif(bullet(quality["issues"]), F.lit("")), F.lit("")))
     return F.concat(
         join(
             thick, F.lit("VERIFICATION RECORD"), thick, F.lit(""), line("Result", lookup(RECOMMENDATION_WORDS, report["recommendation"])), wrap(report["headline"], 60, " " * 19), F.lit(""),
@@ -104,21 +113,37 @@ def zip_entries(names: pd.Series, contents: pd.Series, at: pd.Series) -> pd.Seri
     return pd.Series([archive(list(n), [bytes(x) for x in c], t) for n, c, t in zip(names, contents, at, strict=True)])
 
 
-def case_files(rows: DataFrame, application: str = "application", report: str = "report", image: str = "content", filename: str = "filename", at: str = "at") -> DataFrame:
-    """(name, bytes): an archive for each row of record, its data and the picture, named by reference and day."""
+def case_files(rows: DataFrame, application: str = "application", report: str = "report", image: str = "content", filename: str = "filename", at: str = "at", keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, name, bytes): an archive for each row of record, its data and the picture, named by reference and day."""
     a, r = F.col(application), F.col(report)
     data = F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), a.alias("application"), r.alias("report")), {"pretty": "true"})
     name = F.concat(F.lit("label-check-"), slug(F.coalesce(a["application_id"], a["brand_name"])), F.lit("-"), F.date_format(at, "yyyy-MM-dd"), F.lit(".zip"))
     contents = F.array(F.encode(report_text(a, r, F.col(filename), F.col(at)), "UTF-8"), F.encode(data, "UTF-8"), F.col(image))
-    return rows.select(name.alias("name"), zip_entries(F.array(F.lit("report.txt"), F.lit("report.json"), F.col(filename)), contents, F.col(at)).alias("bytes"))
-
-
-def responses(rows: DataFrame, report: str = "report", error: str = "error", reader: str = "reader") -> DataFrame:
-    """(status int, body string): the report in JSON, or 400 with what is wrong; refused rows stay rows."""
-    bad = F.col(error).isNotNull()
-    body = F.when(bad, F.to_json(F.struct(F.col(error).alias("error")))).otherwise(F.to_json(F.struct(F.col(report).alias("report"), F.col(reader).alias("readerId"), (F.col(reader) == "mock").alias("isDemoReader"))))
-    return rows.select(F.when(bad, 400).otherwise(200).alias("status"), body.alias("body"))
-
-
-def seconds(ms: Column) -> Column:
-    return plain_number(F.round(ms / 1000.0, 1))
+    return rows.select(*keep, name.alias("name"), zip_entries(F.array(F.lit("report.txt"), F.lit("report.json"), F.col(filename)), contents, F.col(at)).alias("bytes"))
+
+
+def responses(rows: DataFrame, report: str = "report", error: str = "error", reader: str = "reader", usage: str | None = None, failure: str | None = None, retry_after: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep, status int, body string, retry_after long) of each request: refused and failed rows stay rows.
+
+    429 where `retry_after` (seconds) is not null, 400 where `error` is not; `failure`, a struct (kind, message,
+    retryable), gives 503 or 500 as a reader's failure may be retried or not, and 500 for any other kind. Else 200
+    with the report, its reader, and what it used.
+    """
+    json = lambda **fields: F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))
+    name, wrong = F.col(reader), F.col(error)
+    wait = F.col(retry_after).cast("long") if retry_after else F.lit(None).cast("long")
+    shown = {"report": F.col(report), "readerId": name, "isDemoReader": name == "mock"} | ({"usage": F.col(usage)} if usage else {})
+    status = F.when(wait.isNotNull(), 429).when(wrong.isNotNull(), 400)
+    body = F.when(wait.isNotNull(), json(error=F.lit("rate_limited"), message=F.format_string("Too many labels at once. Try again in %d seconds.", wait))).when(wrong.isNotNull(), json(error=F.lit("bad_request"), message=wrong))
+    if failure:
+        f = F.col(failure)
+        by_reader, again = f["kind"] == "reader", F.coalesce(f["retryable"], F.lit(False))
+        status = status.when(f.isNotNull() & by_reader, F.when(again, 503).otherwise(500)).when(f.isNotNull(), 500)
+        body = body.when(f.isNotNull() & by_reader, json(error=F.lit("reader_failed"), message=f["message"], retryable=again))
+        body = body.when(f.isNotNull(), json(error=F.lit("internal_error"), message=F.lit("The check failed. Try again."), retryable=F.lit(True)))
+    return rows.select(*keep, status.otherwise(200).alias("status"), body.otherwise(json(**shown)).alias("body"), wait.alias("retry_after"))
+
+
+def shows_quality(quality: Column) -> Column:
+    """Whether a report has a part on the picture: if something was noted, or it is too poor."""
+    return (F.size(quality["issues"]) > 0) | quality["too_poor_to_review"]

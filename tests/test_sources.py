@@ -4,6 +4,8 @@ import json
 import zipfile
 import zlib
 
+import pytest
+
 from proofline.constants import STATUTORY_WARNING
 from proofline.operators import pictures, rollup, scores
 from proofline.operators.rules import verify_labels
@@ -98,6 +100,26 @@ def test_csv_round_trip(spark, tmp_path):
     assert list(csv.reader(io.StringIO(data, newline=""))) == [["File", "Note"], ["plain", "a,b"], ['say "x"', "two\nlines"], ["'=1+1", ""]] and "\r\n" in data
 
 
+def test_csv_folder(spark, tmp_path):
+    rows = spark.createDataFrame([(f"f{k}.png", f"brand {k}\n\"x\"") for k in range(30)], "File string, `Brand Name` string")
+    sinks.write_csv(rows.repartition(3), str(tmp_path / "out"))
+    files = [p.read_text() for p in (tmp_path / "out").glob("part-*") if p.stat().st_size]
+    assert len(files) == 3 and all(t.startswith("File,Brand Name\n") for t in files)
+    back = readers.read_csv(spark, str(tmp_path / "out"))
+    assert sorted((r.file, r.brandname) for r in back.collect()) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "out" / "other.csv").write_text("File,Type\na.png,wine\n")
+    with pytest.raises(ValueError, match="different headers"):
+        readers.read_csv(spark, str(tmp_path / "out"))
+
+
+def test_every_response(spark):
+    rows = spark.createDataFrame([(1, "mock", None, None, None), (2, "one", "image: missing", None, None), (3, "one", None, ("reader", "busy", True), None), (4, "one", None, ("reader", "key", False), None), (5, "one", None, ("code", "x", None), None), (6, "one", "image: missing", None, 7)],
+        "report int, reader string, error string, failure struct<kind:string,message:string,retryable:boolean>, wait int")
+    got = [(r.status, json.loads(r.body), r.retry_after) for r in sinks.responses(rows, failure="failure", retry_after="wait").collect()]
+    assert [x[0] for x in got] == [200, 400, 503, 500, 500, 429] and [x[2] for x in got] == [None] * 5 + [7]
+    assert got[2][1] == {"error": "reader_failed", "message": "busy", "retryable": True} and got[4][1]["error"] == "internal_error" and got[4][1]["retryable"] is True
+
+
 def test_case_file(spark):
     app = ("A 1", None, "distilled_spirits", "Old Tom", "Gin", "45%", "750 mL", "Old Tom", None, None, False)
     read = (("OLD TOM", 0.9), ("Gin", 0.9), ("45%", 0.9), ("750 mL", 0.9), ("Old Tom", 0.9), None, (STATUTORY_WARNING, 0.9, True, True, True, None, None), (0.9, ["glare"], False), (0.9, False, []), ["a note " * 20], 1000, "mock")
@@ -116,7 +138,7 @@ def test_case_file(spark):
     assert "Result:            NO PROBLEMS FOUND" in text and "  Brand name             Old Tom" in text and "TTB ID" not in text and "[MATCHES]  Brand Name" in text
     assert "Regulation: 27 CFR 5.63   Rule: normalised-match:case   Reading confidence: 90%" in text and "  - glare" in text and max(map(len, text.split("\n"))) < 320
     ok, bad = sinks.responses(rows).first(), sinks.responses(rows.withColumn("error", F.lit("image: missing"))).first()
-    assert ok.status == 200 and json.loads(ok.body)["isDemoReader"] is True and (bad.status, json.loads(bad.body)) == (400, {"error": "image: missing"})
+    assert ok.status == 200 and json.loads(ok.body)["isDemoReader"] is True and (bad.status, json.loads(bad.body)) == (400, {"error": "bad_request", "message": "image: missing"})
 
 
 def test_pictures(spark):
