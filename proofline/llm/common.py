@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import math
 import os
 import tempfile
 import uuid
@@ -33,12 +35,14 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder in spark.checkpoint.dir. A local one is set only where that is unset and the master is local."""
     sc = spark.sparkContext
     if where := sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None):
         return where.rstrip("/")
     if (now := sc._jsc.sc().getCheckpointDir()).isDefined():
         return now.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     sc.setCheckpointDir(where := tempfile.mkdtemp(prefix="proofline-"))
     return where
 
@@ -50,6 +54,12 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of earlier steps: it does so once the driver has collected what refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unsigned_crc(text: Column) -> Column:
     return F.crc32(text.cast("string").cast("binary"))
 
@@ -62,8 +72,10 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Rec
     release()
 
 
-def release() -> None:
-    """Give memory that is free back to the system: workers live on from task to task, and executors have little room."""
+def release(collect: bool = False) -> None:
+    """Give memory that is free back to the system: processes live on, and executors and the driver have little room."""
+    if collect:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
         ctypes.CDLL(None).malloc_trim(0)
@@ -87,13 +99,15 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return left.join(right, on, how).drop(*[f"__right_{k}" for k in keys])
 
 
-def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, to: str, chunk_rows: int = 20_000, rows: int | None = None) -> DataFrame:
+def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, to: str, least_rows: int = 1_000, rows: int | None = None) -> DataFrame:
     """Adds `to`: the sum of `value` over the earlier rows of the group.
 
-    Earlier is by a hash of the order columns, then by them. A group is cut into chunks of about
-    `chunk_rows` rows, so that a hot group is summed by many tasks; only chunk totals meet.
+    Earlier is by a hash of the order columns, then by them. A group is cut into chunks of about the square root of
+    all rows, `least_rows` at least, so that a hot group is summed by many tasks; then only chunk totals meet, about
+    as many. At 10^10 rows either is 10^5.
     """
-    n = max(1, -(-(df.count() if rows is None else rows) // chunk_rows))
+    many = df.count() if rows is None else rows
+    n = max(1, many // max(least_rows, math.isqrt(many)))
     df = df.withColumn("__chunk", F.pmod(F.xxhash64(*order), F.lit(n)))
     keys = [*group, "__chunk"]
     totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))

@@ -17,6 +17,10 @@ BLOCK = 64
 #: Blocks an output shard has.
 SHARD = 1 << 14
 WEIGHTS = (3, 1, 2)
+#: Sources that may be mixed: what each task of the draw is sent; more are an error. Tasks of the draw at most.
+MOST_SOURCES, MOST_TASKS = 1 << 16, 20_000
+#: Slots up to which the exact draw is used.
+MOST_EXACT = 10**9
 #: Rounds of the pseudorandom index permutation.
 ROUNDS = 4
 
@@ -68,41 +72,73 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent
     return open_.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def split_draw(rng: np.random.Generator, left: np.ndarray, take: int) -> np.ndarray:
+    """How many of `take` slots, drawn without order from `left` slots by source, are each source's.
+
+    That is a multinomial draw given the numbers left, source after source. Beyond what the generator takes a
+    rounded normal stands for the hypergeometric, of the same mean and variance, within what is possible.
+    """
+    out, total = np.zeros(left.size, np.int64), int(left.sum())
+    for k in np.flatnonzero(left).tolist():
+        own, rest = int(left[k]), total - int(left[k])
+        if not rest or not take:
+            n = take
+        elif total < MOST_EXACT:
+            n = int(rng.hypergeometric(own, rest, take))
+        else:
+            p = own / total
+            n = round(rng.normal(take * p, (take * p * (1 - p) * (total - take) / (total - 1)) ** 0.5))
+        out[k] = min(max(n, take - rest, 0), own, take)
+        take, total = take - int(out[k]), rest
+    return out
+
+
+def shard_draw(slots: np.ndarray, number: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first slot, number of slots) of each source in output shard `number` of `shard` slots.
+
+    The shards are halved again and again, the halves' counts drawn from a seed of their own: any shard finds its
+    own by itself, in as many draws as halvings, and all of them together use each source's slots once.
+    """
+    total = int(slots.sum())
+    lo, hi, first, own = 0, -(-total // shard), np.zeros(slots.size, np.int64), slots.astype(np.int64)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        here = split_draw(np.random.default_rng([seed, lo, hi]), own, (mid - lo) * shard)
+        if number < mid:
+            hi, own = mid, here
+        else:
+            lo, first, own = mid, first + here, own - here
+    return first, own
+
+
 def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
     """(source_id, block, shard, epoch): the blocks that each output shard takes of each source.
 
-    A source gives round(target / block) slots. Their counts per shard are multinomial, drawn given the
-    source's whole number, so that the mix is off its targets by less than a block for each source and epoch.
-    Slot s is block permutation(s mod blocks) in epoch s div blocks; so none comes up more often than another
-    by more than one.
+    A source gives round(target / block) slots. Each shard's counts by source are multinomial, given that all shards
+    together use each source's slots, so that the mix is off its targets by less than a block for each source and
+    epoch. Slot s is block permutation(s mod blocks) in epoch s div blocks; so none comes up more often than another
+    by more than one. A task draws its own shards; the sources, MOST_SOURCES at most, are sent to all.
     """
+    blocks = F.ceil(F.col("source_size") / block)
+    need = sources.where("source_size > 0").select("source_id", blocks.alias("blocks"), F.least(F.greatest(F.round(F.col("target") / block).cast("long"), F.lit(1).cast("long")), 2 * blocks).alias("slots"))
+    rows = sorted(tuple(r) for r in need.limit(MOST_SOURCES + 1).collect())
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    ids, many, slots = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    shards = -(-int(slots.sum()) // shard)
 
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for sid, n, k, shards in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                rng, at = np.random.default_rng([seed, sid]), 0
-                for lo in range(0, shards, SHARD):
-                    part, left = min(SHARD, shards - lo), shards - lo
-                    here = rng.binomial(k - at, part / left) if part < left else k - at
-                    each = rng.multinomial(here, np.full(part, 1 / part))
-                    starts = at + np.cumsum(each) - each
-                    use = np.flatnonzero(each)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(use.size, sid)), pa.array(np.full(use.size, n)), pa.array(lo + use), pa.array(starts[use]), pa.array(each[use])], ["source_id", "blocks", "shard", "start", "slots"])
-                    at += int(here)
-
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for sid, n, h, start, many in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                for lo in range(start, start + many, 1 << 20):
-                    s = np.arange(lo, min(lo + (1 << 20), start + many))
-                    cols = [np.full(s.size, sid), permuted(s % n, n, sid + (seed << 32)), np.full(s.size, h), s // n]
-                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["source_id", "block", "shard", "epoch"])
+            for h in b.column(0).to_pylist():
+                first, count = shard_draw(slots, h, shard, seed)
+                for k in np.flatnonzero(count).tolist():
+                    for lo in range(int(first[k]), int(first[k] + count[k]), 1 << 18):
+                        s, n = np.arange(lo, min(lo + (1 << 18), int(first[k] + count[k]))), int(many[k])
+                        cols = [np.full(s.size, ids[k]), permuted(s % n, n, int(ids[k]) + (seed << 32)), np.full(s.size, h), s // n]
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["source_id", "block", "shard", "epoch"])
 
-    blocks = F.ceil(F.col("source_size") / block)
-    need = sources.where("source_size > 0").select("source_id", blocks.alias("blocks"), F.least(F.greatest(F.round(F.col("target") / block).cast("long"), F.lit(1).cast("long")), 2 * blocks).alias("slots"))
-    need = need.withColumn("shards", F.ceil(F.sum("slots").over(Window.partitionBy()) / shard))
-    drawn = need.mapInArrow(counts, "source_id long, blocks long, shard long, start long, slots long")
-    return drawn.repartition("source_id", "shard").mapInArrow(slots, "source_id long, block long, shard long, epoch long")
+    numbers = sources.sparkSession.range(0, shards, 1, max(1, min(shards, MOST_TASKS))).withColumnRenamed("id", "number")
+    return numbers.mapInArrow(run, "source_id long, block long, shard long, epoch long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -110,7 +146,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Documents of a source stand in a row in order of a hash of id and text; a block is `block` words of that row.
     Words are [^\\x20\\x09-\\x0D]+; a null text has none. Reruns take the same words. Repeated rows are rows like
-    any other, told apart by `row`; a null source is a source of its own. A mix takes no word of an empty table.
+    any other, told apart by `copy`; a null source is a source of its own, a null id an id. A very long text fills
+    many blocks. A mix takes no word of an empty table. Columns other than the three go, whatever their names.
     """
     ship(docs.sparkSession)
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORDS)), F.lit(0)).cast("long")
@@ -144,7 +181,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: each document's text becomes its taken spans, one a line, epoch by epoch."""
+    """The words that the mix takes: each document's text becomes its taken spans, one a line, epoch by epoch.
+
+    Documents of which nothing is taken go, so null and empty texts. n_chars, where there is one, becomes that of
+    the new text. Repeated rows each have their own words; null ids and sources are kept apart like others. An empty
+    table stays empty. Other columns stay, whatever their names but for __hash, __source_id, __copy and __spans.
+    """
     ship(spark)
     _, spans = mix(docs)
     spans = spans.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("epoch", "first", "n_words"))).alias("__spans"))
@@ -155,7 +197,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__hash", "__source_id").orderBy("doc_id")))
     out = null_safe_join(rows, spans, ["doc_id", *(f"__{k}" for k in KEYS[1:])])
     at, names = docs.columns.index("text"), docs.columns
-    chars = names.index("n_chars")
+    chars = names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -165,7 +207,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
                 texts.append(b"\n".join(b" ".join(words[c["first"] : c["first"] + c["n_words"]]) for c in cuts.as_py()).decode())
             columns = b.columns[: len(names)]
             columns[at] = pa.array(texts, pa.string())
-            columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[chars].type)
+            if chars is not None:
+                columns[chars] = pa.array([len(t) for t in texts], pa.int64()).cast(columns[chars].type)
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return out.select(*names, "__spans").mapInArrow(run, docs.schema)

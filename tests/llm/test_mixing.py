@@ -3,7 +3,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from proofline.llm.mixing import mix, mixing_stage, permuted, source_targets, taken_words
+from proofline.llm import mixing
+from proofline.llm.mixing import draws, mix, mixing_stage, permuted, shard_draw, source_targets, split_draw, taken_words
 
 
 def test_permutation():
@@ -30,7 +31,7 @@ def table(spark):
     for k in range(900):
         source = rng.choice(["a", "a", "a", "b", "c", "Z", None, "é", "d"])
         rows.append((k, " ".join("w" * rng.randrange(1, 5) for _ in range(rng.randrange(300))), "en", source, 0, 0))
-    rows += [(900, None, "en", "n", 0, 0), (901, "", None, None, 0, 0), (902, "  one\x0btwo\t", "en", "b", 0, 0), (903, "w " * 20_000, "en", "a", 0, 0), rows[5], rows[5]]
+    rows += [(None, "a b c", "en", "a", 0, 0), (None, "a b c", "en", "a", 0, 0), (900, None, "en", "n", 0, 0), (901, "", None, None, 0, 0), (902, "  one\x0btwo\t", "en", "b", 0, 0), (903, "w " * 20_000, "en", "a", 0, 0), rows[5], rows[5]]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, block int")
 
 
@@ -39,7 +40,7 @@ def test_mix(spark):
     placed, spans = mix(df, block=16, shard=50)
     got = taken_words(placed, spans).collect()
     count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    assert sorted((r.doc_id, r["size"]) for r in got) == sorted((r[0], count(r[1])) for r in rows)
+    assert sorted(((r.doc_id, r["size"]) for r in got), key=str) == sorted(((r[0], count(r[1])) for r in rows), key=str)
     sizes, taken, of = defaultdict(int), defaultdict(int), {r[0]: r[3] for r in rows}
     for r in got:
         assert r.taken <= 2 * r["size"]
@@ -51,13 +52,64 @@ def test_mix(spark):
     for s, t in want.items():
         assert abs(taken[s] - t) <= 2 * 16 + 1
     again = taken_words(*mix(df.repartition(7), block=16, shard=50)).collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert sorted(map(str, got)) == sorted(map(str, again))
     shards = spans.groupBy("shard").count().collect()
     assert len(shards) > 5
     empty = mix(df.limit(0))
     assert taken_words(*empty).count() == 0
 
 
+def plain_draw(slots, shard, seed):
+    """Every shard's counts by halving all of them in order, and the first slot of each source there."""
+    todo, out = [(0, -(-sum(slots) // shard), np.zeros(len(slots), int), np.array(slots))], {}
+    while todo:
+        lo, hi, first, own = todo.pop()
+        if hi - lo == 1:
+            out[lo] = (first.tolist(), own.tolist())
+        else:
+            mid = (lo + hi) // 2
+            here = split_draw(np.random.default_rng([seed, lo, hi]), own, (mid - lo) * shard)
+            todo += [(lo, mid, first, here), (mid, hi, first + here, own - here)]
+    return out
+
+
+def test_shards_draw_alone_what_all_draw_together():
+    for slots, shard in (([70, 0, 31, 200], 20), ([5], 7), ([1, 1, 1], 1), ([0, 9], 3)):
+        want = plain_draw(slots, shard, 3)
+        got = {h: tuple(x.tolist() for x in shard_draw(np.array(slots), h, shard, 3)) for h in want}
+        assert got == want
+        assert np.sum([own for _, own in got.values()], axis=0).tolist() == slots
+        sizes = [sum(got[h][1]) for h in sorted(got)]
+        assert all(n == shard for n in sizes[:-1]) and 0 < sizes[-1] <= shard
+
+
+def test_counts_of_a_shard_are_multinomial():
+    slots, shard, shares = np.array([6000, 3000, 1000]), 100, []
+    for seed in range(300):
+        shares.append(shard_draw(slots, seed % 100, shard, seed)[1])
+    mean, spread = np.mean(shares, axis=0), np.std(shares, axis=0)
+    p = slots / slots.sum()
+    assert np.allclose(mean, shard * p, atol=1.5) and np.allclose(spread, np.sqrt(shard * p * (1 - p)), rtol=0.2)
+
+
+def test_draws_beyond_the_exact_generator(monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_EXACT", 0)
+    for slots, take in (([70, 0, 31, 200], 33), ([2, 1], 3), ([1, 1, 1], 1), ([10**12, 3], 10**11)):
+        got = split_draw(np.random.default_rng(1), np.array(slots), take)
+        assert got.sum() == take and (got >= 0).all() and (got <= slots).all()
+
+
+def test_each_block_comes_as_often_as_its_source_needs(spark):
+    sources = spark.createDataFrame([(1, 640, 900.0), (2, 100, 200.0), (3, 0, 0.0), (4, 7, 3.0)], "source_id long, source_size long, target double")
+    got = [tuple(r) for r in draws(sources, block=16, shard=10).collect()]
+    for sid, size, target in ((1, 640, 900.0), (2, 100, 200.0), (4, 7, 3.0)):
+        n, mine = -(-size // 16), [r for r in got if r[0] == sid]
+        want = min(max(int(target / 16 + 0.5), 1), 2 * n)
+        assert len(mine) == want and {r[1] for r in mine} <= set(range(n))
+        assert sorted((r[3], r[1]) for r in mine) == sorted((s // n, int(permuted(np.array([s % n]), n, sid)[0])) for s in range(want))
+    assert {r[2] for r in got} == set(range(-(-len(got) // 10)))
+
+
 def test_targets_where_all_are_capped_or_empty(spark):
     for rows in ([("a", 0), ("b", 0)], [("a", 5)], [("a", 1), ("b", 1000), ("c", 3), (None, 7)]):
         df = spark.createDataFrame(rows, "source string, size long")
@@ -68,12 +120,12 @@ def test_targets_where_all_are_capped_or_empty(spark):
 
 def test_stage_keeps_only_taken_words(spark):
     rows, df = table(spark)
-    df = df.drop("block").where("doc_id <> 5")
-    out = {r.doc_id: r for r in mixing_stage(spark, df, "").collect()}
-    for r in taken_words(*mix(df)).collect():
-        n = len(re.findall(r"[^\x20\x09-\x0D]+", out[r.doc_id].text)) if r.doc_id in out else 0
-        assert n == r.taken
-        assert r.doc_id not in out or out[r.doc_id].n_chars == len(out[r.doc_id].text)
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    out = mixing_stage(spark, df, "").collect()  # the column `block` is the table's own
+    assert sorted(((r.doc_id, count(r.text)) for r in out), key=str) == sorted(((r.doc_id, r.taken) for r in taken_words(*mix(df)).collect() if r.taken), key=str)
+    assert all(r.n_chars == len(r.text) and r.block == 0 for r in out)
+    bare = mixing_stage(spark, df.drop("n_chars", "block"), "").collect()
+    assert sorted(r.text for r in bare) == sorted(r.text for r in out)
 
 
 def test_stage_gives_repeated_rows_their_own_words(spark):
