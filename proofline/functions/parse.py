@@ -10,11 +10,12 @@ from .text import WS, let, normalized, trimmed
 
 NUMBER = "(\\d*[.,]?\\d+)"
 PROOF = f"(?i){NUMBER}{WS}*(?:degrees?{WS}*)?proof"
-#: Tried in this order; the first whose number is plausible counts.
+#: Tried in this order; the first whose number is plausible counts. With each what a text must contain, in lower
+#: case, for it to match: most texts are spared most of the patterns.
 ABV_PATTERNS = (
-    f"(?i){NUMBER}{WS}*%{WS}*(?:alc|alcohol|abv|vol)",
-    f"(?i)(?:alc|alcohol|abv)\\.?{WS}*{NUMBER}{WS}*(?:%|percent)?{WS}*(?:by{WS}*)?vol",
-    f"^{WS}*{NUMBER}{WS}*%?{WS}*$",
+    (f"(?i){NUMBER}{WS}*%{WS}*(?:alc|alcohol|abv|vol)", "%"),
+    (f"(?i)(?:alc|alcohol|abv)\\.?{WS}*{NUMBER}{WS}*(?:%|percent)?{WS}*(?:by{WS}*)?vol", "vol"),
+    (f"^{WS}*{NUMBER}{WS}*%?{WS}*$", ""),
 )
 VOLUME = (
     f"(?i)(\\d+(?:[.,]\\d+)?){WS}*(ml|milliliters?|millilitres?|cl|centiliters?|centilitres?|dl|l|liters?|litres?|"
@@ -46,7 +47,10 @@ def alcohol_text(c: Column) -> Column:
 
 def parse_alcohol(text: Column) -> Column:
     """struct<abv, proof, derived, matched> of an alcohol_text(); null numbers where it states none."""
-    found = lambda c, p: F.struct(decimal(_first(c, p, 1)).alias("value"), _first(c, p, 0).alias("matched"))
+
+    def found(c: Column, pattern: str, needs: str) -> Column:
+        get = lambda group: F.when(F.contains(F.lower(c), F.lit(needs)), _first(c, pattern, group)).otherwise("")
+        return F.struct(decimal(get(1)).alias("value"), get(0).alias("matched"))
 
     def without(text: Column, proof: Column) -> Column:
         at = F.position(proof["matched"], text)
@@ -63,9 +67,9 @@ def parse_alcohol(text: Column) -> Column:
         )
 
     def first_plausible(rest: Column) -> Column:
-        return F.get(F.filter(F.array(*[found(rest, p) for p in ABV_PATTERNS]), lambda h: h["value"].between(0.0, MAX_ABV)), 0)
+        return F.get(F.filter(F.array(*[found(rest, *p) for p in ABV_PATTERNS]), lambda h: h["value"].between(0.0, MAX_ABV)), 0)
 
-    return let(text, lambda t: let(found(t, PROOF), lambda proof: let(let(without(t, proof), first_plausible), lambda hit: result(proof, hit))))
+    return let(text, lambda t: let(found(t, PROOF, "proof"), lambda proof: let(let(without(t, proof), first_plausible), lambda hit: result(proof, hit))))
 
 
 def proof_consistent(reading: Column) -> Column:

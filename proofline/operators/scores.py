@@ -10,10 +10,14 @@ from ..functions.text import collapse_whitespace, normalized
 
 
 def upper_median(rows: DataFrame, key: list[str], value: str) -> DataFrame:
-    """(key, median): the value at index floor(n / 2) in rising order, not a mean of two."""
+    """(key, median): the value at index floor(n / 2) in rising order, not a mean of two; nulls come first.
+
+    Equal values are counted before anything is moved, so that a group is as many rows as it has values.
+    """
     w = Window.partitionBy(*key)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    return ranked.where(F.col("_k") == F.floor(F.col("_n") / 2)).select(*key, F.col(value).alias("median"))
+    counts = rows.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = counts.withColumns({"_upto": F.sum("_c").over(w.orderBy(value)), "_half": F.floor(F.sum("_c").over(w) / 2)})
+    return counts.where((F.col("_upto") > F.col("_half")) & (F.col("_upto") - F.col("_c") <= F.col("_half"))).select(*key, F.col(value).alias("median"))
 
 
 def same_reading(a: Column, b: Column) -> Column:
