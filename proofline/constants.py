@@ -1,4 +1,4 @@
-"""What the law, the forms and the file formats prescribe."""
+"""What the law, the forms, the file formats and the contract of the rules (thresholds, synonyms) prescribe."""
 
 BEVERAGE_TYPES = ("distilled_spirits", "wine", "malt_beverage")
 BEVERAGE_ALIASES = {
@@ -19,7 +19,6 @@ MIN_CONFIDENCE = 0.5
 MIN_IMAGE_SCORE = 0.5
 MARGINAL_LEGIBILITY = 0.6
 MIN_RELATIVE_CONTRAST = 0.5
-LEGIBLE_CONTRAST, HIDDEN_CONTRAST = 4.5, 2.0
 
 # Alcohol statements
 ABV_TOLERANCE = {"distilled_spirits": 0.3, "malt_beverage": 0.3}
@@ -73,6 +72,6 @@ MAX_IMAGE_BYTES, MAX_FIELD_CHARS, MAX_APPLICATION_CHARS = 8 * 1024 * 1024, 300,
 MAX_EDGE_PIXELS, SMALL_IMAGE_BYTES = 1568, 400 * 1024
 
 # Flow
-RATE_LIMIT, RATE_WINDOW_MS, MAX_RATE_KEYS = 400, 60_000, 10_000
-BUDGET_MS, BACKOFF_FIRST_MS, BACKOFF_MOST_MS, MAX_RETRIES = 5000, 500, 15_000, 4
+RATE_LIMIT, RATE_WINDOW_MS = 400, 60_000
+BUDGET_MS, BACKOFF_FIRST_MS, BACKOFF_MOST_MS = 5000, 500, 15_000
 VERDICT_RANK = {"fail": 0, "unreadable": 1, "review": 2, "pass": 3, "not_applicable": 4}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import ABV_TOLERANCE, MAX_ABV, MAX_PROOF, PROOF_SLACK, UNITS_ML, VULGAR_FRACTIONS, WINE_TOLERANCE_ABOVE, WINE_TOLERANCE_TO_14
 from .text import WS, let, normalized, trimmed
 
+# Fixed by the contract: what counts as a statement of alcohol, proof or volume.
 NUMBER = "(\\d*[.,]?\\d+)"
 PROOF = f"(?i){NUMBER}{WS}*(?:degrees?{WS}*)?proof"
 #: Tried in this order; the first whose number is plausible counts. With each what a text must contain, in lower

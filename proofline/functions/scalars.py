@@ -84,10 +84,11 @@ def downscaled(mime: Column, size: Column, width: Column, height: Column) -> Col
     return F.struct(skipped.alias("skipped"), keep(width).alias("width"), keep(height).alias("height"))
 
 
-def backoff_ms(attempt: Column, retry_after_s: Column) -> Column:
-    """Wait before a retry, without the random part: what the server asks, else doubling, both bounded."""
+def backoff_ms(attempt: Column, retry_after_s: Column, jitter_ms: Column | None = None) -> Column:
+    """Wait before a retry: what the server asks, else doubling and the jitter the caller gives, both bounded."""
     asked = F.when(retry_after_s > 0, F.least(retry_after_s * 1000, F.lit(BACKOFF_MOST_MS)))
-    return F.coalesce(asked, F.least(F.lit(BACKOFF_FIRST_MS) * F.pow(F.lit(2), attempt), F.lit(BACKOFF_MOST_MS))).cast("long")
+    doubled = F.lit(BACKOFF_FIRST_MS) * F.pow(F.lit(2), attempt) + (F.lit(0) if jitter_ms is None else jitter_ms)
+    return F.coalesce(asked, F.least(doubled, F.lit(BACKOFF_MOST_MS))).cast("long")
 
 
 def http_error(status: Column, body: Column) -> Column:

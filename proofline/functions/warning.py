@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,32 +24,42 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.lower(collapse_whitespace(plain)), " "), lambda w: w != "")
 
 
+def _common_tails(a: list[str], b: list[str]) -> Callable[[int, int], int]:
+    """The length of the longest common subsequence of a[i:] and b[j:], by i and j.
+
+    For each tail of b one whole number: its lowest k bits have as many zeros as that tail and the last k words of a
+    have words in common. A word of b makes the next number in a few operations, whatever the length of a.
+    """
+    places: dict[str, int] = {}
+    for k, x in enumerate(reversed(a)):
+        places[x] = places.get(x, 0) | 1 << k
+    every = (1 << len(a)) - 1
+    tails = [every]
+    for x in reversed(b):
+        bits, hits = tails[-1], places.get(x, 0)
+        tails.append((bits + (bits & hits) | bits & ~hits) & every)
+    tails.reverse()
+    return lambda i, j: len(a) - i - (tails[j] & (1 << len(a) - i) - 1).bit_count()
+
+
 def diff_lists(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """(op, text) runs that turn a into b along a longest common subsequence, deletions before insertions."""
-    table = [[0] * (len(b) + 1)]
-    for x in reversed(a):  # table[-1] is the row of the words from x on
-        below, row = table[-1], [0]
-        for j in range(len(b) - 1, -1, -1):
-            row.append(below[j + 1] + 1 if x == b[j] else max(below[j], row[-1]))
-        table.append(row[::-1])
-    table.reverse()
-    runs: list[tuple[str, list[str]]] = []
-    i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and a[i] == b[j]:
-            op, word = "equal", a[i]
-            i, j = i + 1, j + 1
-        elif j == len(b) or (i < len(a) and table[i + 1][j] >= table[i][j + 1]):
-            op, word = "delete", a[i]
-            i += 1
-        else:
-            op, word = "insert", b[j]
-            j += 1
-        if runs and runs[-1][0] == op:
-            runs[-1][1].append(word)
-        else:
-            runs.append((op, [word]))
-    return [(op, " ".join(w)) for op, w in runs]
+    """(op, text) runs that turn a into b along a longest common subsequence; of equally good ways a word is deleted first."""
+    common = _common_tails(a, b)
+
+    def steps() -> Iterator[tuple[str, str]]:
+        i = j = 0
+        while (i, j) != (len(a), len(b)):
+            if a[i : i + 1] == b[j : j + 1]:
+                yield "equal", a[i]
+                i, j = i + 1, j + 1
+            elif j == len(b) or i < len(a) and common(i + 1, j) >= common(i, j + 1):
+                yield "delete", a[i]
+                i += 1
+            else:
+                yield "insert", b[j]
+                j += 1
+
+    return [(op, " ".join(word for _, word in run)) for op, run in groupby(steps(), key=itemgetter(0))]
 
 
 STATUTE_WORDS = unicodedata.normalize("NFKC", STATUTORY_WARNING).lower().split()

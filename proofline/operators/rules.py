@@ -10,11 +10,8 @@ from ..functions.fills import check_fill
 from ..functions.parse import alcohol_text, format_volume, parse_alcohol, parse_volume, proof_consistent, tolerance, volume_text
 from ..functions.text import combined_similarity, contains_all, extra_tokens, forms, is_blank, ladder_level, plain_number, trimmed
 from ..functions.warning import assess, compatible, warning_diff, words
-from ..schemas import CHECK
 from .rollup import override_unreviewable, reviewable, summarise
 
-NO_CHECKS = f"array<{CHECK}>"
-
 
 def check(id: str, name: str, category: str, verdict, rule, explanation, expected=None, found=None, citation=None, confidence=None) -> Column:
     """One check struct; plain strings are literals, None is null."""

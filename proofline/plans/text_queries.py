@@ -47,9 +47,9 @@ def text_compare_verdict(d: DataFrame) -> DataFrame:
     return done.select("p_partkey", "c.verdict", "c.rule")
 
 
-@query("SELECT doc_id, concat('“', text, '”—′') AS text FROM {documents}", "SELECT doc_id, md5(concat('\"', d.text, '\"-''')) AS folded FROM given JOIN documents AS d USING (doc_id) WHERE d.text IS NOT NULL")
+@query("SELECT doc_id, concat('“', text, '”—′') AS text FROM {documents}", "SELECT doc_id, CASE WHEN d.text IS NOT NULL THEN md5(concat('\"', d.text, '\"-''')) END AS folded FROM given JOIN documents AS d USING (doc_id)")
 def typography_fold(d: DataFrame) -> DataFrame:
-    return d.where(F.col("text").isNotNull()).select("doc_id", F.md5(text.fold_typography(F.col("text"))).alias("folded"))
+    return d.select("doc_id", F.md5(text.fold_typography(F.col("text"))).alias("folded"))
 
 
 @query("SELECT doc_id, text FROM {documents}", "SELECT doc_id, md5(strip_accents(text)) AS plain FROM given")
@@ -187,10 +187,10 @@ def confidence_gate(d: DataFrame) -> DataFrame:
 
 @query(
     "SELECT event_id, CAST(event_id % 7 AS INT) AS attempt, CASE WHEN event_id % 3 = 0 THEN CAST(event_id % 20 AS INT) END AS retry_after, CAST(CASE event_id % 6 WHEN 0 THEN 400 WHEN 1 THEN 403 WHEN 2 THEN 404 WHEN 3 THEN 429 WHEN 4 THEN 503 ELSE 418 END AS INT) AS status FROM {events}",
-    """SELECT event_id, CAST(CASE WHEN retry_after > 0 THEN least(retry_after * 1000, 15000) ELSE least(500 * pow(2, attempt), 15000) END AS BIGINT) AS wait_ms, status NOT IN (403, 404) AS retryable FROM given""",
+    """SELECT event_id, CAST(CASE WHEN retry_after > 0 THEN least(retry_after * 1000, 15000) ELSE least(500 * pow(2, attempt) + event_id % 250, 15000) END AS BIGINT) AS wait_ms, status NOT IN (403, 404) AS retryable FROM given""",
 )
 def retry_plan(d: DataFrame) -> DataFrame:
-    return d.select("event_id", scalars.backoff_ms(F.col("attempt"), F.col("retry_after")).alias("wait_ms"), scalars.http_error(F.col("status"), F.lit(""))["retryable"].alias("retryable"))
+    return d.select("event_id", scalars.backoff_ms(F.col("attempt"), F.col("retry_after"), F.col("event_id") % 250).alias("wait_ms"), scalars.http_error(F.col("status"), F.lit(""))["retryable"].alias("retryable"))
 
 
 @query(

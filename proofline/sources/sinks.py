@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import lookup
-from ..functions.text import plain_number, slug, wrap
+from ..functions.text import slug, wrap
 from ..operators.rollup import csv_lines, of_category
 
 #: How verdicts and recommendations read in a printed record, and on a screen.
