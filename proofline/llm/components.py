@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -15,11 +15,9 @@ def connected_components(links: DataFrame) -> DataFrame:
     minimum of a node's neighbours, which is aggregated before the shuffle, and a join, so that a node with
     very many links is no task's burden. Null ends and links to itself are left out; no links give no rows.
     """
-    edges = written(_oriented(links.select("a", "b")))
-    seen = _mark(edges)
+    edges, seen = _kept(_oriented(links.select("a", "b")))
     while seen[0]:
-        edges = written(_small_star(_large_star(edges)))
-        now = _mark(edges)
+        edges, now = _kept(_small_star(_large_star(edges)))
         if now == seen:
             break
         seen = now
@@ -32,9 +30,12 @@ def _oriented(df: DataFrame) -> DataFrame:
     return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _mark(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-    return (row[0], row[1])
+def _kept(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """Links as a table, and their number and the sum of their hashes, which are taken as they are written."""
+    seen = Observation()
+    rows, total = F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("total")
+    edges = written(edges.observe(seen, rows, total))
+    return edges, (seen.get["rows"], seen.get["total"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

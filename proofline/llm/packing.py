@@ -19,7 +19,7 @@ from .tokens import KNOWN, encoder
 CAPACITY = 2048
 END_ID = 1
 #: Pieces of text a worker remembers as the pipeline's last stage, in executors that have done the others.
-REMEMBERED_LAST = 400_000
+REMEMBERED_LAST = 200_000
 
 
 def sizes(capacity: int) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ship, small, written
+from .common import drop_shuffles, ship, small, written
 from .components import connected_components
 
 #: Words of a shingle, and the similarity at which two texts are near-duplicates, as a fraction.
@@ -23,7 +23,7 @@ SIMILAR, OF = 4, 5
 SAMPLE, COMMON, MOST_COMMON = 16, 3, 1 << 15
 #: Places apart up to which the sets of a posting meet in each round; the last round has no bound. Links of a round
 #: spare the next ones all pairs within what they join.
-ROUNDS = (1, 8, 64, None)
+ROUNDS = (1, 12, None)
 
 
 def shingle_hashes(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -256,4 +256,5 @@ def shingle_components(docs: DataFrame, fold: Callable[[np.ndarray], int], near:
         hi = None if most is None else most + 1
         parts = _merged(parts, written(similar_pairs(open_pairs(placed, lo, hi), sets, docs)))
         lo = hi
+        drop_shuffles(docs.sparkSession)
     return sets.select("id", "key", "node").join(parts, "node", "left").select("id", "key", F.coalesce("root", "node").alias("root"))

@@ -23,7 +23,7 @@ def first_of_each_group(rows):
             if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    return sorted(rows[k][0] for k in range(len(rows)) if top(k) == k)
+    return sorted((rows[k][0] for k in range(len(rows)) if top(k) == k), key=lambda x: (x is None, x))
 
 
 def texts():
@@ -71,6 +71,39 @@ def test_similar_sets_share_a_prefix_shingle():
     assert shingle_set(b"").size == 0 and shingle_set(b"a b").size == 1 and shingle_set(b"a b c d e f").size == 2
 
 
+def test_sketches_never_tell_sets_further_apart_than_they_are():
+    import numpy as np
+    from proofline.llm.shingles import sketch, sketches_differ
+
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        n = int(rng.integers(1, 400))
+        pool = np.unique(rng.integers(0, 1 << 62, 2 * n, np.uint64))
+        x = np.sort(rng.permutation(pool)[:n])
+        y = np.sort(np.concatenate([rng.permutation(x)[: int(rng.integers(0, x.size + 1))], rng.integers(1 << 62, 1 << 63, int(rng.integers(0, n + 1)), np.uint64)]))
+        if y.size:
+            apart = x.size + y.size - 2 * np.intersect1d(x, y).size
+            assert sketches_differ(sketch(x), sketch(y)) <= apart and sketches_differ(sketch(x), sketch(x)) == 0
+    far = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    assert sketches_differ(sketch(far), sketch(far + np.uint64(1))) > 2000 / 9
+
+
+def test_pairs_of_any_distance_in_a_posting_come_up_once():
+    import numpy as np
+    from proofline.llm.shingles import _open_pairs_of
+
+    n = 150
+    rows = np.stack([np.zeros(n, np.int64), np.full(n, 50), np.arange(n), np.zeros(n, np.int64), np.arange(n) % 30])
+    found = [set(), set()]
+    for k, spans in enumerate(([(1, None)], [(1, 2), (2, 13), (13, None)])):
+        for lo, hi in spans:
+            for b in _open_pairs_of(rows, lo, hi):
+                new = set(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+                assert not new & found[k]
+                found[k] |= new
+    assert found[0] == found[1] == {(a, b) for b in range(n) for a in range(b) if a % 30 != b % 30}
+
+
 def test_stage_keeps_one_row_of_each_group(spark):
     a, b, c = ("alpha beta gamma delta epsilon " + x for x in ("one", "two", "three"))
     rows = [(1, a, "en"), (1, a, "en"), (1, a, None), (2, b, "en"), (1, b, "en"), (None, c, "en"), (None, c, "en"), (None, c, "fr"), (None, a, "en"), (3, None, "en"), (4, "", "en")]
