@@ -3,7 +3,8 @@ import random
 import zlib
 
 import numpy as np
-from proofline.llm.languages import CHAIN, Model, chain_marginals, features, fit, identify, language_stage, learn
+from proofline.llm import languages
+from proofline.llm.languages import CHAIN, Lexicon, Model, chain_marginals, features, fit, identify, language_stage, learn, word_hashes
 from proofline.llm.letters import Words
 from pyspark.sql import functions as F
 
@@ -22,11 +23,11 @@ def test_words():
 
 
 def test_features_depend_on_the_word_alone():
-    one, first = features(Words("abc"), 0, 1)
-    two, at = features(Words("x, abc!"), 0, 2)
+    one, first = features(Words("abc"), 0, 1, Lexicon())
+    two, at = features(Words("x, abc!"), 0, 2, Lexicon())
     assert one.tolist() == two[at[1] :].tolist() and first.tolist() == [0]
     big = Words("x abc yz")
-    assert features(big, 1, 2)[0].tolist() == one.tolist()
+    assert features(big, 1, 2, Lexicon())[0].tolist() == one.tolist()
 
 
 def test_forward_backward_against_all_paths():
@@ -41,10 +42,69 @@ def test_forward_backward_against_all_paths():
         want /= want.sum(1, keepdims=True)
         got, _ = chain_marginals(np.concatenate([scores, scores]), t, np.array([n, 0, n]))
         assert np.allclose(got, np.concatenate([want, want]))
-    long = rng.standard_normal((CHAIN + 3, 3))
-    got, _ = chain_marginals(long, t, np.array([CHAIN + 3]))
-    tail, _ = chain_marginals(long[CHAIN:], t, np.array([3]))
-    assert np.allclose(got[CHAIN:], tail)
+
+
+def plain_marginals(scores, t):
+    """Forward-backward of one chain, word after word."""
+    e, t = np.exp(scores), np.exp(t)
+    ahead, back = [e[0] / e[0].sum()], [np.ones(e.shape[1])]
+    for x in e[1:]:
+        a = (ahead[-1] @ t) * x
+        ahead.append(a / a.sum())
+    for x in e[:0:-1]:
+        b = t @ (x * back[-1])
+        back.append(b / b.sum())
+    p = np.array(ahead) * np.array(back[::-1])
+    return p / p.sum(1, keepdims=True)
+
+
+def plain_pairs(scores, t, gold):
+    """Transitions that a chain of one label has beyond those expected."""
+    h = 1e-5
+    n, m = scores.shape
+
+    def log_z(t):
+        a = scores[0]
+        for x in scores[1:]:
+            a = np.logaddexp.reduce(a[:, None] + t, axis=0) + x
+        return np.logaddexp.reduce(a)
+
+    out = np.zeros((m, m))
+    for i, j in itertools.product(range(m), repeat=2):
+        d = np.zeros((m, m))
+        d[i, j] = h
+        out[i, j] = (n - 1) * (i == j == gold) - (log_z(t + d) - log_z(t - d)) / (2 * h)
+    return out
+
+
+def test_texts_longer_than_a_piece_are_one_chain():
+    rng = np.random.default_rng(4)
+    counts = np.array([CHAIN, 0, 1, 3 * CHAIN + 5, CHAIN + 1])
+    scores, t = 2 * rng.standard_normal((counts.sum(), 3)), 2 * rng.standard_normal((3, 3))
+    gold = np.array([0, 0, 2, 1, 2])
+    got, pairs = chain_marginals(scores, t, counts, gold)
+    parts = [x for x in np.split(scores, np.cumsum(counts)[:-1])]
+    assert np.allclose(got, np.concatenate([plain_marginals(x, t) for x in parts if len(x)]))
+    want = sum(plain_pairs(x, t, g) for x, g in zip(parts, gold, strict=True) if len(x))
+    assert np.allclose(pairs, want, atol=1e-4)
+
+
+def test_a_text_read_in_slices_gives_the_same(monkeypatch):
+    rng = random.Random(3)
+    model = fit([text(rng, x, 40) for x in SYLLABLES for _ in range(9)], [x for x in SYLLABLES for _ in range(9)])
+    long = " ".join(text(rng, rng.choice(list(SYLLABLES)), 10) for _ in range(60))
+    want, chances = model.predict([long]), np.concatenate([p for p, _ in model.marginals([long])])
+    monkeypatch.setattr(languages, "SLICE", 2 * CHAIN)
+    assert model.predict(["x", long, "y"])[1] == want[0]
+    assert np.allclose(np.concatenate([p for p, _ in model.marginals([long])]), chances)
+
+
+def test_lexicon():
+    texts = ["der hund und die katze", "und der mann", "the dog and the cat", "and the man"]
+    words = Words("und and hund zebra")
+    lexicon = Lexicon.learn(texts, [0, 0, 1, 1], 2)
+    assert lexicon.find(word_hashes(words, 0, 4)).tolist() == [1, 2, 0, 0]  # hund is in one text only
+    assert Lexicon.learn([], [], 2).find(word_hashes(words, 0, 4)).tolist() == [0] * 4
 
 
 def test_held_out_accuracy_and_code_switching(spark):
