@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import keep_rows, load, ship, unsigned_crc
+from .common import keep_rows, load, release, ship, unsigned_crc
 
 #: Labelled rows that are learned from: at most so many of each label, whole texts.
 TRAIN_ROWS = 1_500
@@ -26,8 +26,8 @@ STEMS = range(4, 9)
 MIN_TEXTS, MIN_SHARE, MOST_ENTRIES = 6, 0.8, 400
 #: The same for entries whose texts others explain already, the texts as a share of all toxic ones.
 MORE_TEXTS, MORE_SHARE = 0.02, 0.97
-#: Words that a negation reaches, and within which a target belongs to an insult.
-NEGATION_SCOPE, TARGET_SCOPE = 3, 4
+#: Words that a negation reaches, within which a target belongs to an insult, and that a denial at the clause's end reaches back.
+NEGATION_SCOPE, TARGET_SCOPE, DENIAL_SCOPE = 3, 4, 4
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n|]+")
@@ -90,13 +90,34 @@ def compose(*parts: Transducer, alphabet: str = LEXICAL) -> Transducer:
     return Transducer(arcs)
 
 
+def denied(width: int, changed: dict[str, str], alphabet: str) -> Transducer:
+    """Read from the clause's end: a negation that ends it rewrites `changed` in the `width` words before."""
+    shut = width + 1
+    arcs = {(0, x): (width if x == "N" else shut, x) for x in alphabet} | {(shut, x): (shut, x) for x in alphabet}
+    return Transducer(arcs | {(s, x): (s - 1 if s > 1 else shut, changed.get(x, x)) for s in range(1, width + 1) for x in alphabet})
+
+
+def weighted(t: Transducer, weights: dict[str, float]) -> dict[tuple[int, str], tuple[int, str, float]]:
+    """The arcs of a transducer, each with what its output adds to the clause."""
+    return {k: (to, y, weights.get(y, 0.0)) for k, (to, y) in t.arcs.items()}
+
+
+#: Read in the order of the words, and then, what that has written, from the clause's end.
 GRAMMAR = compose(
     scope("N", NEGATION_SCOPE, {"I": "i", "T": "t"}, OUTPUT),
     reported(OUTPUT),
     scope("Y", TARGET_SCOPE, {"I": "J", "T": "U"}, OUTPUT),
 )
-#: What a symbol adds to its clause, times the weight of the word's entry.
+BACKWARD = compose(
+    scope("Y", TARGET_SCOPE, {"I": "J", "T": "U"}, OUTPUT),
+    denied(DENIAL_SCOPE, {"I": "i", "J": "i", "T": "t", "U": "t"}, OUTPUT),
+    alphabet=OUTPUT,
+)
+#: What a symbol adds to its clause, times the weight of the word's entry: the weights of the last arcs.
 WEIGHTS = {"I": 1.0, "J": 1.3, "T": 0.4, "U": 1.5, "i": 0.3, "t": 0.1, "q": 0.4}
+ARCS = weighted(BACKWARD, WEIGHTS)
+#: Where the reading from the end starts if the clause goes on.
+OPEN_END = BACKWARD.step(0, "o")[0]
 
 
 class Model:
@@ -135,32 +156,45 @@ class Model:
     def clauses(self, text: str) -> list[tuple[int, int, float, str]]:
         """(start, end, score, output symbols) of each clause of the lower-cased text that has an insult or threat.
 
-        A long clause is read in windows that end between words, the grammar's state going on to the next.
+        What lies over REACH characters after the last entry of a clause is beyond any scope and is not read; the
+        grammar's state goes on to the next entry there.
         """
-        low, out, done, state = text.lower(), [], 0, 0
-        for end, n in self.finder.iter(low):
-            at = end + 1 - n
-            if at < done or (at and (low[at - 1].isalpha())):
+        low, out, done, state, k = text.lower(), [], 0, 0, 0
+        hits = [(end + 1 - n, end + 1) for end, n in self.finder.iter(low) if end + 1 == n or not low[end - n].isalpha()]
+        while k < len(hits):
+            if hits[k][0] < done:
+                k += 1
                 continue
             start = done
-            for m in CLAUSE.finditer(low, done, at):
+            for m in CLAUSE.finditer(low, done, hits[k][0]):
                 start, state = m.end(), 0
-            limit = LETTERS.match(low, min(len(low), end + 1 + REACH)).end()
-            close = CLAUSE.search(low, end + 1, limit)
-            stop = close.start() if close else limit
-            score, symbols, state = self.score_clause(low[start:stop], state)
+            while True:
+                limit = LETTERS.match(low, min(len(low), hits[k][1] + REACH)).end()
+                close = CLAUSE.search(low, hits[k][1], limit)
+                stop = close.start() if close else limit
+                k += 1
+                if close or k == len(hits) or hits[k][0] >= stop:
+                    break
+            score, symbols, state = self.score_clause(low[start:stop], state, bool(close) or stop == len(low))
             if score:
                 out.append((start, stop, score, symbols))
             done = stop
         return out
 
-    def score_clause(self, clause: str, state: int = 0) -> tuple[float, str, int]:
-        total, written = 0.0, []
+    def score_clause(self, clause: str, state: int = 0, ended: bool = True) -> tuple[float, str, int]:
+        """(score, output symbols, state after it) of a clause; `ended` tells whether its last word is the clause's last."""
+        written, values = [], []
         for m in WORD.finditer(clause):
-            symbol, weight = self.read(m[0])
+            symbol, value = self.read(m[0])
             state, out = GRAMMAR.step(state, symbol)
-            total += WEIGHTS.get(out, 0.0) * weight
             written.append(out)
+            values.append(value)
+        if not any(map(WEIGHTS.__contains__, written)):
+            return 0.0, "".join(written), state
+        total, back = 0.0, 0 if ended else OPEN_END
+        for at in range(len(written) - 1, -1, -1):
+            back, written[at], weight = ARCS[back, written[at]]
+            total += weight * values[at]
         return total, "".join(written), state
 
     def features(self, scores: list[float]) -> np.ndarray:
@@ -175,7 +209,7 @@ class Model:
 
 
 FEATURES = 4
-#: Characters a window reaches beyond an entry, and on to the end of a word (texts may have no stops).
+#: Characters after an entry within which what may bear on it is read, on to the end of a word; a scope is a few words.
 REACH = 2_000
 
 
@@ -291,14 +325,17 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     w = Window.partitionBy("toxic").orderBy("chance", "id", F.xxhash64("text"))
     got = joined.withColumn("k", F.row_number().over(w)).where(F.col("k") <= rows).orderBy("chance", "id").select("text", "toxic").toPandas()
     total = sum(counts.values())
-    return fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), counts.get(1, 0) / total if total else None)
+    model = fit(got["text"].tolist(), got["toxic"].astype(int).tolist(), counts.get(1, 0) / total if total else None)
+    release(collect=True)
+    return model
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score double, predicted int, n_clauses int) of each row.
 
-    A null text is an empty one, which scores as a text without any matched clause. Equal rows each get a row,
-    a null id stays. An empty table gives no rows; further columns go.
+    A null text is an empty one, which scores as a text without any matched clause. A very long text, or clause, is
+    read whole. There are no ties to break. Equal rows each get a row, a null id stays. An empty table gives no rows;
+    further columns, whatever their names, go.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # MOST_ENTRIES entries at most
@@ -326,7 +363,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted to be toxic."""
+    """Documents that are not predicted to be toxic.
+
+    Null and empty texts stay. Repeated rows and null ids are rows like any other. An empty table stays empty, and
+    without labels all stay. Columns other than doc_id and text stay as they are, whatever their names.
+    """
     ship(spark)
     sent = spark.sparkContext.broadcast(learn(docs, load(spark, sf_dir, "labels")))
     return keep_rows(docs, "text", lambda texts: [sent.value.score_text(t or "") < 0.5 for t in texts])

@@ -42,7 +42,29 @@ def test_clauses_weigh_context():
     assert read("she said the dolt left") == [("YRoqo", 0.8)]
     assert read("adolt dolts") == [] and read("zagrubig.") == [("I", 1.0)]
     assert [c[3] for c in m.clauses("dolt. fine. dolt dolt\nzagrux")] == ["I", "II", "I"]
-    assert m.clauses("") == [] and len(m.clauses("dolt " * 5000)) > 1
+    assert read("dolt, you are.") == [("JYo", 2.6)] and read("A dolt he is not.") == [("oiYoN", 0.6)]
+    assert read("not here. A dolt, not a friend.") == [("oINoo", 2.0)]  # that negation ends no clause
+    assert m.clauses("") == [] and [c[3] for c in m.clauses("dolt " * 5000)] == ["I" * 5000]
+
+
+def test_reading_from_the_end_does_what_its_parts_do_in_turn():
+    parts = [X.scope("Y", 4, {"I": "J", "T": "U"}, X.OUTPUT), X.denied(4, {"I": "i", "J": "i", "T": "t", "U": "t"}, X.OUTPUT)]
+    for string in itertools.product("oIJYN", repeat=6):
+        states, state = [0, 0], 0
+        for x in string:
+            y = x
+            for k, p in enumerate(parts):
+                states[k], y = p.step(states[k], y)
+            state, got, weight = X.ARCS[state, x]
+            assert got == y and weight == X.WEIGHTS.get(y, 0.0)
+
+
+def test_scopes_reach_over_the_ends_of_what_is_read():
+    m = X.Model({"dolt": 2.0})
+    for k in range(12):  # the target comes after the entry, wherever the reading of the entry before ends
+        text = "dolt " + "malt " * ((X.REACH - 30) // 5) + "x " * k + "dolt ale you"
+        assert "".join(c[3] for c in m.clauses(text)).endswith("JoY"), k
+    assert m.clauses("dolt " + "malt " * 900 + "not")[0][3].startswith("Io")
 
 
 def test_long_clauses_are_cut_between_words_and_read_on():
