@@ -27,7 +27,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 #: Elements without text of the page: raw ones end at their own closing tag only, or with the page.
 RAW = set("script style textarea noframes noembed xmp".split())
 #: These too, but one that is never closed ends at the next block or with what it stands in.
-UNSEEN = set("noscript template iframe svg math object canvas audio video select button".split())
+UNSEEN = set("noscript template iframe svg object canvas audio video select button".split())
 UNSEEN_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|noframes|noembed|xmp)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(/?)({'|'.join(sorted(UNSEEN))})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>?", re.S | re.I)
 SILENT = {"head", "title"}
 #: Closed by the next of their kind, or by a block.
@@ -42,13 +42,15 @@ HINT_BAD = re.compile(
     r"toolbar|comment\w*|disqus|respond|responds|responses?|repl(?:y|ies)|discussion|feedback|share|sharing|social\w*|related\w*|recommend\w*|subscribe\w*|newsletter\w*|signup|login|search\w*|widget\w*|pagination|pager|copyright|legal|"
     r"disclaimer|skip\w*|hidden|complementary|contentinfo|outbrain|taboola)$"
 )
+#: Names by which even an article is no page's main one: a reader's comment, a teaser, an advert. What others say of an article is its subject.
+HINT_OTHER = re.compile(r"^(?:ads?|advert\w*|sponsor\w*|promo\w*|comment\w*|repl(?:y|ies)|responses?|related\w*|recommend\w*|sidebar\w*|hidden)$")
 #: Names that articles have too: they cost less in an article or main.
 HINT_LOOSE, LOOSE_COST = re.compile(r"^(?:reviews?|forms?)$"), -1.5
 HINT_GOOD = re.compile(r"^(?:article\w*|content|main|post|entry|story|body|text|prose|maincontent)$")
 WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
-#: Ancestors by which blocks are compared; sharing only higher ones counts as sharing none.
+#: Ancestors by which blocks are compared; sharing only higher ones weighs less than 2^-15 and counts as sharing none.
 NEAR = 16
 
 
@@ -85,11 +87,11 @@ def _hint_cost(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
     cost = 0.0 if tag == "header" and inside_article else TAG_COST.get(tag, 0.0)
     if tag in ("html", "body"):
         return cost
-    within = inside_article or tag in ("article", "main")
+    within, whole = inside_article or tag in ("article", "main"), tag in ("article", "main")
     for key in ("class", "id", "role"):
         for name in attrs.get(key, "").split():
             words = [w.lower() for w in WORDS_IN_NAME.findall(name)] + [name.lower().replace("-", "").replace("_", "")]
-            good, bad = any(HINT_GOOD.match(w) for w in words), {w for w in words if HINT_BAD.match(w)}
+            good, bad = any(HINT_GOOD.match(w) for w in words), {w for w in words if HINT_BAD.match(w) and (not whole or HINT_OTHER.match(w))}
             if bad <= {"header", "head"} and bad and (good or inside_article):
                 continue  # the article's own heading
             if {"has", "with", "no"} & set(words):
@@ -333,8 +335,9 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text string, n_chars long) of each row.
 
-    A null, empty or textless page has the empty text. Equal rows each get a row, null ids and urls stay. An
-    empty table gives no rows; further columns go.
+    A null, empty or textless page has the empty text. A very long page is one page like any other. Of several least
+    cuts the one with the fewest content blocks counts. Equal rows each get a row, null ids and urls stay. An empty
+    table gives no rows; further columns, whatever their names, go.
     """
     ship(pages.sparkSession)
 

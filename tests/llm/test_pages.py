@@ -94,3 +94,15 @@ def test_rows(spark):
     assert got.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(a, b, main_text(h), len(main_text(h))) for a, b, h in rows], key=str)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["legal", "post-review", "press-alert", "form-guide", "notice", "search-tips"])
+def test_an_article_is_not_judged_by_what_it_is_about(name):
+    said = "A sentence of some words, and more of them. " * 4
+    assert main_text(f'<nav><a href="/">Menu</a></nav><article class="{name}"><p>{said}</p></article>') == said.strip()
+    assert main_text(f'<article><p>{said}</p></article><article class="comment"><p>{said} indeed</p></article>') == said.strip()
+
+
+def test_formulas_are_text():
+    said = "The sum of the squares, which is written out below, is never smaller than twice the product: "
+    assert main_text(f"<article><p>{said}<math><mi>x</mi> &gt; 2</math> holds.</p></article>") == f"{said}x > 2 holds."
