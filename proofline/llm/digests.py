@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,8 +14,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import load, ship
+from .common import load, ship, written
 from .letters import MULT, mixed
 
 #: Bytes of a window, and starts to either side among which a chosen window must be the rarest. Under WINDOW, so texts laid end to end do not touch.
@@ -24,8 +27,8 @@ LEVELS = WINDOW * (WINDOW - 1) // 2 + 1
 BITS, FEATURES, HASHES = 2048, 128, 4
 #: Bytes worked on at a time.
 SLICE = 1 << 17
-#: Rows between bounds of document ids, and most bounds: one row is sent twice for each.
-BUCKET_ROWS, MOST_BUCKETS, FINE = 2000, 1024, 32
+#: Rows between bounds of document ids, at least: one row is sent twice for each bound.
+BUCKET_ROWS = 2000
 
 
 @lru_cache(maxsize=1)
@@ -193,34 +196,36 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return ranks
 
 
-def _bucket(bounds: list, c: Column) -> Column:
-    """How many of the rising bounds are not above c; -1 for null."""
+def _bucket(bounds: list, c: Column, kind: str) -> Column:
+    """How many of the rising bounds are not above c; -1 for null. Two levels of lists, each a literal to Spark."""
     if not bounds:
         return F.when(c.isNull(), -1).otherwise(0)
-    count = lambda xs, what: F.size(F.filter(xs, lambda x: x <= what))
-    coarse = F.array(*map(F.lit, bounds[::FINE]))
-    fine = F.array(*[F.array(*map(F.lit, bounds[k : k + FINE])) for k in range(0, len(bounds), FINE)])
-    at = count(coarse, c)
-    return F.when(c.isNull(), -1).when(at == 0, 0).otherwise((at - 1) * FINE + count(F.get(fine, at - 1), c))
+    fine = math.isqrt(len(bounds) - 1) + 1
+    given = lambda x, t: F.from_json(F.lit(json.dumps(x, default=str)), t)
+    count = lambda xs: F.size(F.filter(xs, lambda x: x <= c))
+    at = count(given(bounds[::fine], f"array<{kind}>"))
+    parts = given([bounds[k : k + fine] for k in range(0, len(bounds), fine)], f"array<array<{kind}>>")
+    return F.when(c.isNull(), -1).when(at == 0, 0).otherwise((at - 1) * fine + count(F.get(parts, at - 1)))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str, bucket_rows: int) -> DataFrame:
     """(bucket, tail, id, text) dealt by bucket and sorted: each bucket's rows by falling id, then one that has tail 1, the row that follows.
 
-    Buckets are ranges of ids, so that the texts are moved once and only the first row of each twice.
+    Buckets are ranges of ids, so that the texts are moved once and only the first row of each twice. A bucket has
+    about the square root of all rows, `bucket_rows` at least: at 10^10 rows there are 10^5 buckets of as many.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = rows.count()
-    many = max(1, min(MOST_BUCKETS, n // bucket_rows))
-    cut = rows.agg(F.percentile_approx("id", [k / many for k in range(1, many)], 20_000)).first()[0] if many > 1 else []
-    bucket = _bucket(sorted(set(cut or [])), F.col("id"))
-    heads = {r["bucket"]: r["id"] for r in rows.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("id")).collect()}
-    order = sorted(heads)  # a bucket's following row is the head of the bucket below, or of the highest
-    above = {b: order[(k + 1) % len(order)] for k, b in enumerate(order)}
-    first = rows.where(F.col("id").isin([x for x in heads.values() if x is not None]) | F.col("id").isNull()).withColumn("bucket", bucket)
-    first = first.groupBy("bucket").agg(F.max("id").alias("id"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
-    to = F.create_map(*[F.lit(x) for pair in above.items() for x in pair]) if above else F.create_map(F.lit(0), F.lit(0))
-    both = rows.select(bucket.alias("bucket"), F.lit(0).alias("tail"), "id", "text").union(first.select(F.element_at(to, F.col("bucket")), F.lit(1), "id", "text"))
+    n, kind = rows.count(), docs.schema[id_col].dataType.simpleString()
+    many = max(1, n // max(bucket_rows, math.isqrt(n)))
+    cut = rows.agg(F.percentile_approx("id", [k / many for k in range(1, many)], max(20_000, 10 * many))).first()[0] if many > 1 else []
+    bucket = _bucket(sorted(set(cut or [])), F.col("id"), kind)
+    heads = rows.select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("head"))
+    # A bucket's following row is the head of the bucket below, or of the highest. A row a bucket: all fit in a task.
+    every = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = written(heads.withColumn("to", F.coalesce(F.lead("bucket").over(Window.orderBy("bucket")), F.first("bucket").over(every))))
+    first = rows.join(F.broadcast(heads), F.col("id").eqNullSafe(F.col("head")))  # the square root of all rows at most
+    first = first.groupBy("to").agg(F.max("id").alias("id"), F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text"))
+    both = rows.select(bucket.alias("bucket"), F.lit(0).alias("tail"), "id", "text").union(first.select("to", F.lit(1), "id", "text"))
     return both.repartition("bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("id"), F.xxhash64("text"), "text")
 
 
@@ -228,8 +233,9 @@ def fingerprints_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
 
     The next row is that of the next lower id (null last, equal ids by hash of the text), after the last the first.
-    A null text is empty; an empty one has the empty fingerprint, which is like itself only. Equal rows each get a
-    row. The only row of a table follows itself, an empty table gives no rows; further columns go.
+    A null text is empty; an empty one has the empty fingerprint, which is like itself only. A very long text has as
+    many filters as its features fill. Equal rows each get a row, in any order. The only row of a table follows
+    itself, an empty table gives no rows; further columns, whatever their names, go.
     """
     ship(docs.sparkSession)
     ranks = rarity(docs, text_col)
