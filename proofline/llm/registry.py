@@ -18,13 +18,14 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_ma
 ORACLES = {
     "op2_chat": r"""
         WITH said AS (
+            SELECT *, '### ' || role || chr(10) || regexp_replace(text, '\\*(?:###|</turn>)', '\\\0', 'g') AS formatted FROM (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
-            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+            UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok') AS t)
         SELECT conv_id, count(*) AS n_turns,
-            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
             CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
-            sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(14 + length(role) + length(text) + len(regexp_extract_all(text, '###|</turn>'))) AS BIGINT) AS formatted_chars
-        FROM said GROUP BY conv_id""".replace(r"\\", "\\"),
+        FROM said GROUP BY conv_id""",
 }
