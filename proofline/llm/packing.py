@@ -102,8 +102,9 @@ def harmonic_pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, capacity: int = CAPACITY, remembered: int = KNOWN) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
-    A null or empty text is the end id alone. Repeated rows are packed as often as they stand; a null id stays
-    null. An empty table gives no rows; further columns do not matter.
+    A null or empty text is the end id alone; a very long one is cut into whole sequences first. Repeated rows are
+    packed as often as they stand, and pieces that are equal in everything stand in any order; a null id stays null.
+    An empty table gives no rows; further columns, whatever their names, do not matter.
     """
     return harmonic_pack(pieces(docs, tokenizer, id_col, text_col, end_id, capacity, remembered), capacity)
 
@@ -113,6 +114,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left: the pieces, with their sequences and places in them."""
+    """Pack what is left: the pieces, with their sequences and places in them.
+
+    Null and empty texts, repeated rows, null ids and empty tables are as pack_documents() says; columns other than
+    doc_id and text go, whatever their names.
+    """
     ship(spark)
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED_LAST)

@@ -165,8 +165,10 @@ def _by_masks(fps: np.ndarray, label: np.ndarray, lo: int, hi: int) -> np.ndarra
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(id, fp, component_id) for each row; component_id is the smallest id its chain of links reaches.
 
-    A null or empty text has fingerprint 0 and is linked like any other. Equal ids keep their rows; a null id
-    is smaller than none. An empty table gives no rows; further columns do not matter.
+    A null or empty text has fingerprint 0 and is linked like any other. A very long text is hashed whole, SLICE
+    shingles at a time; a bit that is set in exactly half of the hashes is 0. Equal ids and repeated rows keep their
+    rows; a null id is smaller than none. An empty table gives no rows; further columns, whatever their names, do not
+    matter.
     """
     fps = written(fingerprints(docs, id_col, text_col))
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first")))
