@@ -1,5 +1,5 @@
 import numpy as np
-from proofline.llm.neighbours import Tree, chi_square_quantile, kd_leaves, nearest
+from proofline.llm.neighbours import Borders, Tree, chi_square_quantile, kd_leaves, nearest
 
 BAD = [None, [0.0] * 6, [float("nan")] + [1.0] * 5, [float("inf")] + [1.0] * 5, [None] + [1.0] * 5, []]
 
@@ -38,13 +38,53 @@ def test_recall_and_work_saved():
     assert tree.verified < 0.9 * len(q) * len(x)
 
 
+def test_a_known_product_spares_work():
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((40, 64))
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 64))
+    q, top = x[:50], float((x * x).sum(1).max())
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :10]
+    free, known = Tree(x, top), Tree(x, top)
+    _, scores = free.search(q, 10)
+    _, above = known.search(q, 10, want[:, 9])
+    assert known.verified <= free.verified < 0.95 * 50 * 4000
+    assert all(np.isclose(np.sort(b)[::-1][:5], w[:5]).mean() >= 0.8 for b, w in zip(above, want, strict=True))
+    none = Tree(x, top)
+    assert none.search(q, 10, np.full(50, np.inf))[0].max() == -1 and none.verified == 0
+
+
+def test_borders_deal_any_point_to_one_leaf():
+    rng = np.random.default_rng(0)
+    points = rng.standard_normal((5000, 8))
+    for leaves in (1, 2, 5, 16):
+        borders = Borders(points, leaves)
+        n = np.bincount(borders.find(points), minlength=borders.leaves)
+        assert borders.leaves == leaves and n.min() > 0.5 * 5000 / leaves and n.max() < 2 * 5000 / leaves
+    assert Borders(np.ones((5000, 8)), 9).leaves == 1 and Borders(points[:0], 4).find(points).max() == 0
+    far = Borders(points, 16).find(100 * rng.standard_normal((50, 8)))
+    assert far.min() >= 0 and far.max() < 16
+
+
+def test_recall_over_shards_of_clustered_vectors(spark):
+    rng = np.random.default_rng(5)
+    centres = 2 * rng.standard_normal((30, 16))
+    x = centres[rng.integers(0, 30, 4000)] + 0.3 * rng.standard_normal((4000, 16))
+    df = spark.createDataFrame([(f"v{i:05d}", v.tolist()) for i, v in enumerate(x)], "vec_id string, embedding array<double>")
+    asked = list(range(0, 4000, 100))
+    got = nearest(df, df.where("int(substring(vec_id, 2)) % 100 = 0"), shard_rows=250).collect()
+    want = np.argsort(-(x[asked] @ x.T), axis=1)
+    best = {(f"v{a:05d}", f"v{j:05d}") for a, row in zip(asked, want, strict=True) for j in [j for j in row if j != a][:20]}
+    assert len(got) == 20 * len(asked) and all(r.query_id != r.vec_id for r in got)
+    assert len(best & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(best)
+
+
 def test_rows(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.integers(-3, 4, 6).astype(float).tolist()) for i in range(500)]
     rows += [(1000 + i, [3.0, 3.0, 3.0, 3.0, 3.0, 3.0]) for i in range(200)] + [(2000 + i, v) for i, v in enumerate(BAD)]
     df = spark.createDataFrame([(i, v, 0, 0.0) for i, v in rows], "vec_id long, embedding array<double>, shard int, score double")
     asked = {i for i, _ in rows if i % 20 == 0}
-    got = nearest(df, df.where("vec_id % 20 = 0"), certainty=0.999999, shard_rows=100, query_rows=7)
+    got = nearest(df, df.where("vec_id % 20 = 0"), certainty=0.999999, shard_rows=100)
     assert {tuple(r) for r in got.collect()} == brute(rows, asked, 20)
     few = df.where("vec_id in (1000, 1001, 2000)")
     assert {tuple(r) for r in nearest(few, few).collect()} == {(1000, 1, 1001, 54.0), (1001, 1, 1000, 54.0)}
