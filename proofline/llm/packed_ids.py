@@ -21,6 +21,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from .common import load, ship, written
@@ -114,6 +115,14 @@ def unpack(data: bytes) -> Iterator[tuple[int | None, bytes]]:
         at += n
 
 
+def part_of(data: bytes, lo: int, hi: int) -> np.ndarray:
+    """Ids lo..hi-1 of a file: the block index says which blocks have them, no other is read."""
+    _, starts, n = layout(data)
+    lo, hi = min(max(lo, 0), n), min(hi, n)
+    first, last = lo // BLOCK, -(-hi // BLOCK)
+    return _unpack_all(data, starts[first:last])[lo - first * BLOCK : max(lo, hi) - first * BLOCK]
+
+
 def _unpack_all(data: bytes, starts: np.ndarray) -> np.ndarray:
     """All blocks, those of one width at a time."""
     raw, s = np.frombuffer(data, np.uint8), starts.astype(np.int64)
@@ -142,10 +151,13 @@ def _unpack_all(data: bytes, starts: np.ndarray) -> np.ndarray:
 def write_files(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """(part, seq int, n_ids long, file binary): files in ascending order of document by (part, seq), written to the shared folder.
 
-    Null ids come first, equal ids in order of text; a null text is empty, so that only end_id is written.
-    An empty table gives no file; further columns do not matter.
+    Null ids come first, equal ids in order of text, repeated rows one after another; a null text is empty, so that
+    only end_id is written. A very long text is one document of one file. An empty table gives no file; further
+    columns, whatever their names, do not matter. Ids must be whole numbers, as the format has them.
     """
     ship(docs.sparkSession)
+    if not isinstance(docs.schema[id_col].dataType, IntegralType):
+        raise TypeError(f"{id_col} must be a whole number: files hold 64-bit ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, end, names, ids, n, seq = encoder(tokenizer), np.array([end_id], "<u4").tobytes(), [], [], 0, 0

@@ -2,9 +2,10 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from proofline.llm.packed_ids import BLOCK, layout, pack, read_files, unpack, unpack_block, write_files
+from proofline.llm.packed_ids import BLOCK, layout, pack, part_of, read_files, unpack, unpack_block, write_files
 from tokenizers import Tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +20,8 @@ def test_file_round_trip(docs):
     _, starts, n = layout(data)
     flat = b"".join(unpack_block(data, int(s)).tobytes() for s in starts)
     assert flat[: 4 * n] == b"".join(ids) and len(flat) == 4 * BLOCK * len(starts)
+    for lo, hi in ((0, n), (n // 3, n // 2), (n // 2, n // 2), (n - 1, n + 9), (n + 5, n + 9), (BLOCK - 1, BLOCK + 1)):
+        assert part_of(data, lo, hi).tobytes() == b"".join(ids)[4 * max(lo, 0) : 4 * hi]
 
 
 def test_documents(spark):
@@ -33,6 +36,8 @@ def test_documents(spark):
     got = read_files(write_files(df, PATH, file_ids=100)).collect()
     assert {r.id: (r.start, r.n_tokens, r.ids_crc32) for r in got} == want
     assert read_files(write_files(df.limit(0), PATH)).count() == 0
+    with pytest.raises(TypeError, match="whole number"):
+        write_files(df.withColumn("doc_id", df["text"]), PATH)
     same = df.union(df).union(spark.createDataFrame([(None, "x", 1)], df.schema))
     got = sorted(read_files(write_files(same, PATH)).collect(), key=lambda r: r.start)
     assert got[0].id is None and len(got) == 2 * len(texts) + 1

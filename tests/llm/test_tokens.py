@@ -30,3 +30,15 @@ def test_ids_are_those_of_the_whole_text(name, monkeypatch):
     monkeypatch.setattr(e, "most", 0)
     e.known.clear()
     assert e.encode(long) == whole(long) and e.encode("") == b""
+
+
+def test_a_tokenizer_whose_tokens_cross_words_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models
+
+    letters = {chr(c): k for k, c in enumerate(range(9, 127))}
+    other = Tokenizer(models.BPE(vocab={**letters, "d ": 200, "d a": 201}, merges=[("d", " "), ("d ", "a")]))
+    other.save(str(tmp_path / "t.json"))
+    e = tokens.Encoder(str(tmp_path / "t.json"))
+    texts = ["and a cad and", "", None, "plain"]
+    assert e.whole and list(e.encode_column(pa.array(texts))) == [np.array(other.encode(t or "").ids, "<u4").tobytes() for t in texts]
+    assert not tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).whole and not tokens.Encoder(public_tokenizers.path("word_bpe_49k.json")).whole
