@@ -16,6 +16,15 @@ def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(re.sub(r"\{(\w+)\}", lambda m: f"parquet.`{sf_dir}/{m[1]}.parquet`", sql))
 
 
+def spread(d: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer splits than there are cores, dealt to all of them: for rules that take long a row.
+
+    What a large table has in splits is more than that; it stays as it is, without a shuffle.
+    """
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(cores) if d.rdd.getNumPartitions() < cores else d
+
+
 def query(inputs: str, oracle: str | None = None):
     """Registers a function from the derived rows; `oracle` reads them as `given`."""
 

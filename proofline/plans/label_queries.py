@@ -12,7 +12,7 @@ from ..operators.rules import verify_pairs
 from ..schemas import APPEARANCE, CHECK, LEGIBILITY, QUALITY, WARNING
 from ..sources import readers, sinks
 from ..streaming.limits import rate_limit
-from .base import derived, query
+from .base import derived, query, spread
 
 STATUTE = STATUTORY_WARNING.replace("'", "''")
 #: Applications and readings out of `part`, in eight ways by key.
@@ -45,7 +45,7 @@ def readings(d: DataFrame) -> DataFrame:
 
 
 def reports(d: DataFrame) -> DataFrame:
-    return verify_pairs(readings(d), "p_partkey")
+    return verify_pairs(readings(spread(d)), "p_partkey")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import STANDARDS_OF_FILL
 from ..functions import contrast, fills, parse, scalars
 from ..operators import pictures, scores
-from .base import query
+from .base import query, spread
 
 #: Rows of lineitem are not unique in their keys, so results are counted by value.
 ALCOHOL = """
@@ -26,7 +26,7 @@ PROOF = "CASE v WHEN 2 THEN q * 2 WHEN 3 THEN q * 2 + 1 WHEN 4 THEN q * 2 + 5 EN
 
 
 def _read(d: DataFrame) -> DataFrame:
-    return d.withColumn("said", parse.alcohol_text(F.col("said"))).withColumn("r", parse.parse_alcohol(F.col("said")))
+    return spread(d).withColumn("said", parse.alcohol_text(F.col("said"))).withColumn("r", parse.parse_alcohol(F.col("said")))
 
 
 @query(ALCOHOL, f"SELECT q, v, CAST({ABV} AS DOUBLE) AS abv, CAST({PROOF} AS DOUBLE) AS proof, v = 2 AS derived, count(*) AS n FROM given GROUP BY ALL")

@@ -9,7 +9,7 @@ from ..constants import STATUTORY_WARNING
 from ..operators import rollup
 from ..operators.rules import verify_pairs
 from ..schemas import APPEARANCE, LEGIBILITY, QUALITY, READING, WARNING
-from .base import query
+from .base import query, spread
 
 STATUTE = f"'{STATUTORY_WARNING}'"
 BRAND, BOTTLER = "concat(p_name, ' Creek')", "concat(p_name, ' Distillery')"
@@ -115,7 +115,7 @@ def case_readings(d: DataFrame) -> DataFrame:
 
 
 def case_reports(d: DataFrame) -> DataFrame:
-    return verify_pairs(case_readings(d), "p_partkey")
+    return verify_pairs(case_readings(spread(d)), "p_partkey")
 
 
 @query(CASE_ROWS, f"SELECT w.v, w.id, w.verdict, w.rule, count(*) AS n FROM given JOIN (VALUES {WANTED}) AS w(v, id, verdict, rule) ON w.v = given.v GROUP BY ALL")
