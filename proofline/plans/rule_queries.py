@@ -118,7 +118,7 @@ def case_reports(d: DataFrame) -> DataFrame:
     return verify_pairs(case_readings(spread(d)), "p_partkey")
 
 
-@query(CASE_ROWS, f"SELECT w.v, w.id, w.verdict, w.rule, count(*) AS n FROM given JOIN (VALUES {WANTED}) AS w(v, id, verdict, rule) ON w.v = given.v GROUP BY ALL")
+@query(CASE_ROWS, f"SELECT given.v, w.id, w.verdict, w.rule, count(*) AS n FROM given JOIN (VALUES {WANTED}) AS w(v, id, verdict, rule) ON w.v = given.v GROUP BY ALL")
 def rule_ids(d: DataFrame) -> DataFrame:
     made = rollup.explode_checks(case_reports(d), "p_partkey")
     return made.groupBy((F.col("p_partkey") % len(CASES)).alias("v"), "id", "verdict", "rule").agg(F.count(F.lit(1)).alias("n"))
