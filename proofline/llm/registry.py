@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from . import divergence
 from .chat import op2_chat
 from .digests import op5_digests
+from .divergence import op11_divergence
 from .languages import op7_languages
 from .mixing import op6_mixing
 from .neighbours import op3_neighbours
@@ -13,9 +15,10 @@ from .pages import op4_main_text
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity, op11_divergence)}
 
 ORACLES = {
+    "op11_divergence": divergence.ORACLE,
     "op2_chat": r"""
         WITH said AS (
             SELECT *, '### ' || role || chr(10) || regexp_replace(text, '\\*(?:###|</turn>)', '\\\0', 'g') AS formatted FROM (
