@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .byte_words import table, words_of
 from .common import load, release, ship, small, written
 
 #: A term is kept if so many documents of its language have it.
@@ -22,25 +23,9 @@ TOP_TERMS = 10
 BLOCK = 256
 #: Rows of a histogram that are priced together.
 PRICED = 4_096
-#: Different terms that a task holds before it passes its counts on, and bytes of a text that it splits at a time.
-HELD, SLICE = 200_000, 1 << 20
-#: Bytes of terms stay, A-Z in lower case; all others part terms. Bytes over 7F are those of characters outside ASCII.
-KEPT_BYTES = bytes(b if b > 0x7F or chr(b).isalpha() else 0x20 for b in range(256)).lower()
-
-
-def pieces(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of a text, in slices that end between terms: a very long text is never all split at once."""
-    plain = text.translate(KEPT_BYTES)
-    at = 0
-    while at < len(plain):
-        end = len(plain)
-        if end - at > SLICE:
-            end = plain.rfind(b" ", at, at + SLICE)
-            if end < 0:  # a term longer than a slice
-                end = plain.find(b" ", at + SLICE)
-                end = len(plain) if end < 0 else end
-        yield plain[at:end].split()
-        at = end + 1
+#: Different terms that a task holds before it passes its counts on.
+HELD = 200_000
+TERMS = table(digits=False)
 
 
 def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -66,7 +51,7 @@ def count_terms(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
             for lang, source, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 times, holders = seen.setdefault((lang, source), (Counter(), Counter()))
                 own: set[bytes] = set()
-                for terms in pieces(body.as_py()):
+                for terms in words_of(body.as_py(), TERMS):
                     times.update(terms)
                     own.update(terms)
                 holders.update(own)

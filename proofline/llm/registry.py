@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence
+from . import divergence, resampling
 from .chat import op2_chat
 from .digests import op5_digests
 from .divergence import op11_divergence
@@ -12,13 +12,15 @@ from .neighbours import op3_neighbours
 from .packed_ids import op8_packed_ids
 from .packing import op9_packing
 from .pages import op4_main_text
+from .resampling import op12_resampling
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity, op11_divergence)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity, op11_divergence, op12_resampling)}
 
 ORACLES = {
     "op11_divergence": divergence.ORACLE,
+    "op12_resampling": resampling.ORACLE,
     "op2_chat": r"""
         WITH said AS (
             SELECT *, '### ' || role || chr(10) || regexp_replace(text, '\\*(?:###|</turn>)', '\\\0', 'g') AS formatted FROM (
