@@ -12,11 +12,12 @@ from .neighbours import op3_neighbours
 from .packed_ids import op8_packed_ids
 from .packing import op9_packing
 from .pages import op4_main_text
+from .personal import op13_personal
 from .resampling import op12_resampling
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity, op11_divergence, op12_resampling)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_chat, op3_neighbours, op4_main_text, op5_digests, op6_mixing, op7_languages, op8_packed_ids, op9_packing, op10_toxicity, op11_divergence, op12_resampling, op13_personal)}
 
 ORACLES = {
     "op11_divergence": divergence.ORACLE,
