@@ -338,6 +338,12 @@ def other_numbers(rng: random.Random) -> str:
     ])()
 
 
+def other_signs(rng: random.Random) -> str:
+    """An @ that is in no address: a mention, a price, a host without domain, a word in brackets."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 10)))
+    return rng.choice([f"{word()} @{word()}", f"{rng.randrange(100)} @ {rng.randrange(100)}", f"{word()}@{word()}", f"{word()} (at) {word()}", f"{word()} [at] {word()} {word()}", f"{word()} @ {word()}"])
+
+
 def unlucky(rng: random.Random) -> str:
     """Digits as many as a card's that fail its check."""
     d = str(rng.randrange(10**15, 10**16))
@@ -364,7 +370,7 @@ def labelled(before: str, parts: list[tuple[str | None, str]], after: str) -> li
 
 
 def examples(found: list[tuple[str, str, str]], seed: int = 3) -> list[tuple[Stretch, set[tuple[int, int, int]]]]:
-    """From (before, stretch, after) of the corpus: as they are where patterns agree, other ways to write them, pairs of them, other numbers."""
+    """From (before, stretch, after) of the corpus: as they are where patterns agree, other ways to write them, pairs of them, other numbers and signs."""
     rng = random.Random(seed)
     out, known = [], []
     for before, said, after in found:
@@ -389,6 +395,7 @@ def examples(found: list[tuple[str, str, str]], seed: int = 3) -> list[tuple[Str
         second = rng.choice([said2, *variants(k2, said2, rng)])
         out += labelled(before, [(k, said), (None, joint), (k2, second)], after)
         out += labelled(before, [(None, other_numbers(rng))], after)
+        out += labelled(before, [(None, other_signs(rng))], after)
         out += labelled(before, [(k, said), (None, joint + other_numbers(rng))], after)
     return out
 
