@@ -15,27 +15,25 @@ from ..constants import BEVERAGE_TYPES, MAX_APPLICATION_CHARS, MAX_IMAGE_BYTES
 from ..functions.scalars import beverage_type, bounded_text, normalise_header, sniff_image, supported_image, truthy
 from ..functions.text import trimmed
 from ..schemas import APPLICATION, EXTRACTION
+from .csv_ranges import read_records
+
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """All-string records under normalised headers: cells trimmed, missing ones empty, blank rows left out.
 
     Quotes, doubled quotes, commas and line ends in cells are read as such; of equal headers the last counts. Each
-    file of a folder has its header; files whose headers differ are an error. `_line` keeps the rows' order within
-    a file.
+    file of a folder has its header; files whose headers differ are an error. `_line` numbers the rows, files in the
+    order of their paths. A file is read in ranges, by many tasks, whatever its quotes hold.
     """
-    raw = spark.read.csv(path, header=False, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    names = raw.columns
-    raw = raw.select(*[F.coalesce(trimmed(F.col(c)), F.lit("")).alias(c) for c in names], F.monotonically_increasing_id().alias("_line"), F.col("_metadata.file_path").alias("_file"))
-    filled = raw.where(~F.forall(F.array(*names), lambda c: c == ""))
-    heads = filled.groupBy("_file").agg(F.min(F.struct("_line", F.array(*names).alias("cells"))).alias("head")).select("_file", "head.*")
+    rows, heads = read_records(spark, path)
     found = heads.select("cells").distinct().limit(2).collect()
     if not found:
         return spark.createDataFrame([], "_line long")
     if len(found) > 1:
         raise ValueError(f"files under {path} have different headers")
-    headers = {normalise_header(h): c for h, c in zip(found[0]["cells"], names, strict=True) if h}
-    rows = filled.join(heads.select("_file", F.col("_line").alias("_head")), "_file").where("_line > _head")
-    return rows.select(*[F.col(c).alias(h) for h, c in headers.items()], "_line")
+    headers = {normalise_header(h): k for k, h in enumerate(found[0]["cells"])}
+    filled = rows.select(F.transform("cells", trimmed).alias("cells"), F.col("line").alias("_line")).where(F.exists("cells", lambda c: c != ""))
+    return filled.select(*[F.coalesce(F.get("cells", F.lit(k)), F.lit("")).alias(h) for h, k in headers.items() if h], "_line")
 
 
 def last_per_key(rows: DataFrame, key: str, order: str) -> DataFrame:
