@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from ..constants import RATE_LIMIT, RATE_WINDOW_MS
+from ..sources.shared import write_shared
 
 STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset_at", T.LongType())])
 
@@ -30,25 +32,76 @@ def admit(count: int, reset_at: int, now: int, limit: int, window_ms: int) -> tu
 OUTPUT = ["allowed", "remaining", "retry_after_seconds"]
 
 
+def _successors(times: DataFrame, window_ms: int) -> DataFrame:
+    """Adds what a time of a key needs to know of others: `first` whether a window must open there, `next` where the one after opens.
+
+    times: (key, at, n) of different times. A chunk is a window long, so what a window ends in is the next chunk or, if
+    nothing there is late enough, the start of the first later one with requests. Tasks see a chunk or two; of a key's
+    chunks only their ends meet.
+    """
+    times = times.withColumn("chunk", F.call_function("div", F.col("at") - F.pmod("at", F.lit(window_ms)), F.lit(window_ms)))
+    of_key, inside = Window.partitionBy("key").orderBy("chunk"), Window.partitionBy("key", "chunk").orderBy("at")
+    ends = times.groupBy("key", "chunk").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.sum("n").alias("n"))
+    ends = ends.select(
+        "key", "chunk", F.lag("high").over(of_key).alias("before"), F.lead("chunk").over(of_key).alias("chunk_1"), F.lead("low").over(of_key).alias("low_1"), F.lead("low", 2).over(of_key).alias("low_2"),
+        F.coalesce(F.sum("n").over(of_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
+    )
+    role = lambda meets, place, point: F.struct(meets.alias("meets"), place.alias("place"), F.lit(point).alias("point"))
+    roles = F.array(role(F.col("chunk"), F.col("at"), True), role(F.col("chunk") + 1, F.col("at") + window_ms, False))
+    ahead = Window.partitionBy("key", "meets").orderBy("place").rangeBetween(0, Window.unboundedFollowing)
+    met = times.select("*", F.explode(roles).alias("role")).select("key", "at", "chunk", "n", "role.*")
+    met = met.withColumn("late", F.min(F.when(F.col("point"), F.col("at"))).over(ahead)).where(~F.col("point"))
+    out = met.join(ends, ["key", "chunk"])
+    previous = F.coalesce(F.lag("at").over(inside), F.col("before"))
+    adjacent = F.when(F.col("chunk_1") == F.col("chunk") + 1, F.coalesce(F.col("late"), F.col("low_2"))).otherwise(F.col("low_1"))
+    return out.select(
+        "key", "at", "chunk", "n", F.coalesce(F.col("at") - previous >= window_ms, F.lit(True)).alias("first"), adjacent.alias("next"),
+        (F.col("base") + F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("earlier"),
+    )
+
+
+def _openings(nodes: DataFrame) -> DataFrame:
+    """(key, at) of all times at which a window opens: what is reached from the first ones, by pointers that double in length.
+
+    A round joins each time with where it points; no task follows a chain. As many rounds as the logarithm of the
+    windows that follow one another without a pause of a window's length.
+    """
+    points = nodes.select("key", "at", F.col("next").alias("to"))
+    marked = write_shared(nodes.where("first").select("key", "at"))
+    while True:
+        reached = marked.join(points, ["key", "at"]).where("to is not null").select("key", F.col("to").alias("at"))
+        new = write_shared(reached.join(marked, ["key", "at"], "left_anti").distinct())
+        if new.isEmpty():
+            return marked
+        marked = marked.union(new)
+        further = points.select("key", F.col("at").alias("to"), F.col("to").alias("beyond"))
+        points = write_shared(points.where("to is not null").join(further, ["key", "to"]).select("key", "at", F.col("beyond").alias("to")))
+
+
 def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RATE_WINDOW_MS, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
     """(key, order, at, allowed, remaining, retry_after_seconds) of each request of a table, by time, then `order`.
 
-    A task reads its keys' requests in order, a batch at a time, and keeps one window a key: a busy key needs no memory.
+    A window opens with a key's first request after the last one ended; refused requests count, too. Busy keys are
+    split by time; only requests of one key at the same millisecond are numbered by one task. Null keys are a key,
+    requests without time are left out.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now_key, state = None, (0, 0)
-        for b in batches:
-            out = []
-            for k, t in zip(b[key], b[at], strict=True):
-                if k != now_key:
-                    now_key, state = k, (0, 0)
-                *state, said = admit(*state, int(t), limit, window_ms)
-                out.append(said)
-            yield pd.concat([b, pd.DataFrame(out, columns=OUTPUT, index=b.index)], axis=1)
-
-    given = requests.select(key, order, at)
-    schema = T.StructType([*given.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()), T.StructField("retry_after_seconds", T.LongType())])
-    return given.repartition(key).sortWithinPartitions(key, at, order).mapInPandas(run, schema)
+    given = requests.select(F.struct(F.col(key).alias("k")).alias("key"), F.col(at).cast("long").alias("at"), F.col(order).alias("id"), F.col(at).alias("given")).where("at is not null")
+    nodes = write_shared(_successors(given.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")), window_ms))
+    opened = _openings(nodes).withColumn("opens", F.lit(True))
+    known = nodes.join(opened, ["key", "at"], "left")
+    # A chunk has one opening at most: two would be less than a window apart.
+    chunks = known.groupBy("key", "chunk").agg(F.min(F.when(F.col("opens"), F.struct("at", "earlier"))).alias("own"))
+    chunks = chunks.withColumn("before", F.last("own", ignorenulls=True).over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    opening = F.when(F.col("own.at") <= F.col("at"), F.col("own")).otherwise(F.col("before"))
+    spans = nodes.join(chunks, ["key", "chunk"]).select("key", "at", "earlier", opening.alias("opening"))
+    same = F.row_number().over(Window.partitionBy("key", "at").orderBy("id"))
+    count = F.col("earlier") + F.col("same") - F.col("opening.earlier")
+    wait = F.ceil((F.col("opening.at") + window_ms - F.col("at")) / 1000)
+    out = given.withColumn("same", same).join(spans, ["key", "at"])
+    return out.select(
+        F.col("key.k").alias(key), F.col("id").alias(order), F.col("given").alias(at), (count <= limit).alias("allowed"),
+        F.greatest(F.lit(0), limit - count).cast("long").alias("remaining"), F.when(count == 1, 0).otherwise(wait).cast("long").alias("retry_after_seconds"),
+    )
 
 
 class Limiter(StatefulProcessor):

@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 from proofline.streaming.limits import admit, rate_limit, rate_limit_stream, refused_share
 
@@ -28,6 +29,18 @@ def test_table(spark):
     assert shares["one"] == (3, 0)
 
 
+def test_one_hot_key(spark):
+    """Windows that follow one another without a pause for long, in one key, with equal times and a null key."""
+    rng = random.Random(9)
+    rows = [("hot", t, i) for i, t in enumerate(sorted(rng.choices(range(40_000), k=900)))] + [("hot", 50_000 + 999 * k, 2000 + k) for k in range(20)] + [("hot", -1500, 5000), ("hot", -10, 5001)]
+    rows += [(None, 7, 6000), (None, 8, 6001), ("cold", 5, 7000), ("cold", 1004, 7001), ("cold", 1005, 7002)]
+    df = spark.createDataFrame(rows, "key string, at_ms long, request_id long")
+    got = rate_limit(df, 12, 1000)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    want = [(k or None, *r) for k, *r in plain([(k or "", *r) for k, *r in rows], 12, 1000)]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_admit():
     assert admit(0, 0, 5, 2, 1000) == (1, 1005, (True, 1, 0))
     assert admit(2, 1005, 6, 2, 1000) == (3, 1005, (False, 0, 1)) and admit(3, 1005, 1005, 2, 1000)[2] == (True, 1, 0)
