@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 from ..constants import RATE_LIMIT, RATE_WINDOW_MS
 from ..sources.shared import write_shared
 
+#: Different times of a busy spell that are gone through in order as one array; longer spells are worked on by many tasks.
+FOLDED = 4_096
 STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset_at", T.LongType())])
 
 
@@ -48,7 +50,7 @@ def _successors(times: DataFrame, window_ms: int) -> DataFrame:
     )
     role = lambda meets, place, point: F.struct(meets.alias("meets"), place.alias("place"), F.lit(point).alias("point"))
     roles = F.array(role(F.col("chunk"), F.col("at"), True), role(F.col("chunk") + 1, F.col("at") + window_ms, False))
-    ahead = Window.partitionBy("key", "meets").orderBy("place").rangeBetween(0, Window.unboundedFollowing)
+    ahead = Window.partitionBy("key", "meets").orderBy(F.desc("place"))  # up to the current place, rows of equal place included
     met = times.select("*", F.explode(roles).alias("role")).select("key", "at", "chunk", "n", "role.*")
     met = met.withColumn("late", F.min(F.when(F.col("point"), F.col("at"))).over(ahead)).where(~F.col("point"))
     out = met.join(ends, ["key", "chunk"])
@@ -60,11 +62,29 @@ def _successors(times: DataFrame, window_ms: int) -> DataFrame:
     )
 
 
-def _openings(nodes: DataFrame) -> DataFrame:
-    """(key, at) of all times at which a window opens: what is reached from the first ones, by pointers that double in length.
+def _covered(nodes: DataFrame, marked: DataFrame, to: str) -> DataFrame:
+    """Adds `to`: (at, earlier) of the last marked time up to each, where marked times of a key are a window apart, so that a chunk has one at most."""
+    known = nodes.join(marked.select("key", "at", F.lit(True).alias("marked")), ["key", "at"], "left")
+    chunks = known.groupBy("key", "chunk").agg(F.min(F.when(F.col("marked"), F.struct("at", "earlier"))).alias("own"))
+    chunks = chunks.withColumn("before", F.last("own", ignorenulls=True).over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
+    own = F.when(F.col("own.at") <= F.col("at"), F.col("own")).otherwise(F.col("before"))
+    return nodes.join(chunks, ["key", "chunk"]).select(*[nodes[c] for c in nodes.columns], own.alias(to))
+
+
+def _folded(nodes: DataFrame, window_ms: int) -> DataFrame:
+    """(key, at) of all times at which a window opens in busy spells of up to FOLDED times, each gone through in order."""
+    opens = F.aggregate(
+        F.array_sort(F.collect_list("at")), F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("all")),
+        lambda so_far, t: F.when(t < so_far["last"] + window_ms, so_far).otherwise(F.struct(t.alias("last"), F.concat(so_far["all"], F.array(t)).alias("all"))),
+    )
+    return nodes.groupBy("key", "spell").agg(opens["all"].alias("opens")).select("key", F.explode("opens").alias("at"))
 
-    A round joins each time with where it points; no task follows a chain. As many rounds as the logarithm of the
-    windows that follow one another without a pause of a window's length.
+
+def _doubled(nodes: DataFrame) -> DataFrame:
+    """The same of spells of any length: what is reached from their first times, by pointers that double in length.
+
+    A round joins each time with where it points; no task follows a chain. There are as many rounds as the logarithm
+    of a spell's windows.
     """
     points = nodes.select("key", "at", F.col("next").alias("to"))
     marked = write_shared(nodes.where("first").select("key", "at"))
@@ -81,19 +101,20 @@ def _openings(nodes: DataFrame) -> DataFrame:
 def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RATE_WINDOW_MS, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
     """(key, order, at, allowed, remaining, retry_after_seconds) of each request of a table, by time, then `order`.
 
-    A window opens with a key's first request after the last one ended; refused requests count, too. Busy keys are
-    split by time; only requests of one key at the same millisecond are numbered by one task. Null keys are a key,
-    requests without time are left out.
+    A window opens with a key's first request after the last one ended; refused requests count, too. A pause of a
+    window's length ends any, so spells between pauses are worked on apart, long ones by many tasks. Only requests of
+    one key at the same millisecond are numbered by one task. Null keys are a key, requests without time are left out.
     """
     given = requests.select(F.struct(F.col(key).alias("k")).alias("key"), F.col(at).cast("long").alias("at"), F.col(order).alias("id"), F.col(at).alias("given")).where("at is not null")
     nodes = write_shared(_successors(given.groupBy("key", "at").agg(F.count(F.lit(1)).alias("n")), window_ms))
-    opened = _openings(nodes).withColumn("opens", F.lit(True))
-    known = nodes.join(opened, ["key", "at"], "left")
-    # A chunk has one opening at most: two would be less than a window apart.
-    chunks = known.groupBy("key", "chunk").agg(F.min(F.when(F.col("opens"), F.struct("at", "earlier"))).alias("own"))
-    chunks = chunks.withColumn("before", F.last("own", ignorenulls=True).over(Window.partitionBy("key").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)))
-    opening = F.when(F.col("own.at") <= F.col("at"), F.col("own")).otherwise(F.col("before"))
-    spans = nodes.join(chunks, ["key", "chunk"]).select("key", "at", "earlier", opening.alias("opening"))
+    nodes = write_shared(_covered(nodes, nodes.where("first"), "spell").withColumn("spell", F.col("spell.at")))
+    sizes = nodes.groupBy("key", "spell").agg(F.count(F.lit(1)).alias("times"))
+    long = sizes.where(F.col("times") > FOLDED)
+    short = nodes.join(sizes.where(F.col("times") <= FOLDED), ["key", "spell"], "left_semi")
+    opened = _folded(short, window_ms)
+    if not long.isEmpty():
+        opened = opened.union(_doubled(nodes.join(long, ["key", "spell"], "left_semi")))
+    spans = _covered(nodes, opened, "opening").select("key", "at", "earlier", "opening")
     same = F.row_number().over(Window.partitionBy("key", "at").orderBy("id"))
     count = F.col("earlier") + F.col("same") - F.col("opening.earlier")
     wait = F.ceil((F.col("opening.at") + window_ms - F.col("at")) / 1000)

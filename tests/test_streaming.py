@@ -2,6 +2,8 @@ import json
 import os
 import random
 
+import pytest
+from proofline.streaming import limits
 from proofline.streaming.limits import admit, rate_limit, rate_limit_stream, refused_share
 
 
@@ -29,8 +31,10 @@ def test_table(spark):
     assert shares["one"] == (3, 0)
 
 
-def test_one_hot_key(spark):
+@pytest.mark.parametrize("folded", [4_096, 5])
+def test_one_hot_key(spark, monkeypatch, folded):
     """Windows that follow one another without a pause for long, in one key, with equal times and a null key."""
+    monkeypatch.setattr(limits, "FOLDED", folded)  # the second way doubles pointers
     rng = random.Random(9)
     rows = [("hot", t, i) for i, t in enumerate(sorted(rng.choices(range(40_000), k=900)))] + [("hot", 50_000 + 999 * k, 2000 + k) for k in range(20)] + [("hot", -1500, 5000), ("hot", -10, 5001)]
     rows += [(None, 7, 6000), (None, 8, 6001), ("cold", 5, 7000), ("cold", 1004, 7001), ("cold", 1005, 7002)]
