@@ -161,15 +161,16 @@ class Model:
 
 
 def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Texts in groups of 2 x SLICE characters at most, so of SLICE words; a longer one by itself."""
+    """Texts in groups of 2 x SLICE characters at most once they are lower-cased, so of SLICE words; a longer one by itself."""
     some: list[str] = []
     n = 0
     for t in texts:
-        if some and n + len(t) + 1 > 2 * SLICE:
+        size = 1 + (len(t) if t.isascii() else len(t.lower()))  # some letters become two
+        if some and n + size > 2 * SLICE:
             yield some
             some, n = [], 0
         some.append(t)
-        n += len(t) + 1
+        n += size
     if some:
         yield some
 

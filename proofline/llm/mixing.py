@@ -112,19 +112,22 @@ def shard_draw(slots: np.ndarray, number: int, shard: int, seed: int) -> tuple[n
 
 
 def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 0) -> DataFrame:
-    """(source_id, block, shard, epoch): the blocks that each output shard takes of each source.
+    """(source_id, block, shard, epoch, most): the blocks that each output shard takes of each source, and how many of their words.
 
-    A source gives round(target / block) slots. Each shard's counts by source are multinomial, given that all shards
-    together use each source's slots, so that the mix is off its targets by less than a block for each source and
-    epoch. Slot s is block permutation(s mod blocks) in epoch s div blocks; so none comes up more often than another
-    by more than one. A task draws its own shards; the sources, MOST_SOURCES at most, are sent to all.
+    A source's target in whole words is full epochs of all its blocks, then blocks until it is reached, of the last
+    one only what is wanting: its words are off by less than one. Each shard's counts by source are multinomial, given
+    that all shards together use each source's slots. Slot s is block permutation(s mod blocks) in epoch s div blocks,
+    a short block at the source's end last; so none comes up more often than another by more than one. A task draws
+    its own shards; the sources, MOST_SOURCES at most, are sent to all.
     """
-    blocks = F.ceil(F.col("source_size") / block)
-    need = sources.where("source_size > 0").select("source_id", blocks.alias("blocks"), F.least(F.greatest(F.round(F.col("target") / block).cast("long"), F.lit(1).cast("long")), 2 * blocks).alias("slots"))
+    need = sources.where("source_size > 0").select("source_id", "source_size", F.least(F.round("target").cast("long"), 2 * F.col("source_size")))
     rows = sorted(tuple(r) for r in need.limit(MOST_SOURCES + 1).collect())
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    ids, many, slots = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    ids, sizes, words = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+    many, wanting = -(-sizes // block), words % np.maximum(1, sizes)
+    slots = words // np.maximum(1, sizes) * many + -(-wanting // block)
+    last = np.where(wanting > 0, (wanting - 1) % block + 1, block)  # words of the last slot
     shards = -(-int(slots.sum()) // shard)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +137,13 @@ def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
                 for k in np.flatnonzero(count).tolist():
                     for lo in range(int(first[k]), int(first[k] + count[k]), 1 << 18):
                         s, n = np.arange(lo, min(lo + (1 << 18), int(first[k] + count[k]))), int(many[k])
-                        cols = [np.full(s.size, ids[k]), permuted(s % n, n, int(ids[k]) + (seed << 32)), np.full(s.size, h), s // n]
-                        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["source_id", "block", "shard", "epoch"])
+                        at = s % n
+                        blocks = np.where(at < n - 1, permuted(np.minimum(at, max(0, n - 2)), max(1, n - 1), int(ids[k]) + (seed << 32)), n - 1)
+                        cols = [np.full(s.size, ids[k]), blocks, np.full(s.size, h), s // n, np.where(s == slots[k] - 1, last[k], block)]
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["source_id", "block", "shard", "epoch", "most"])
 
     numbers = sources.sparkSession.range(0, shards, 1, max(1, min(shards, MOST_TASKS))).withColumnRenamed("id", "number")
-    return numbers.mapInArrow(run, "source_id long, block long, shard long, epoch long")
+    return numbers.mapInArrow(run, "source_id long, block long, shard long, epoch long, most long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block: int = BLOCK, shard: int = SHARD, seed: int = 0, weights: tuple[int, ...] = WEIGHTS) -> tuple[DataFrame, DataFrame]:
@@ -161,10 +166,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     there = placed.where("size > 0")
     cut = there.select("*", F.explode(F.sequence(F.floor(F.col("at") / block), F.floor((F.col("at") + F.col("size") - 1) / block))).alias("block"))
     lo, hi = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
-    cut = cut.select("doc_id", "hash", "source_id", "copy", "block", (lo - F.col("at")).alias("first"), (hi - lo).alias("n_words"))
+    cut = cut.select("doc_id", "hash", "source_id", "copy", "block", (lo - F.col("at")).alias("first"), (hi - lo).alias("n_words"), (lo - F.col("block") * block).alias("inside"))
     drawn = draws(sources, block, shard, seed).hint("merge")  # its size is not seen in what it is made from
-    taken = cut.join(drawn, ["source_id", "block"])
-    return placed, taken.drop("block")
+    taken = cut.join(drawn, ["source_id", "block"]).withColumn("n_words", F.least("n_words", F.col("most") - F.col("inside"))).where("n_words > 0")
+    return placed, taken.drop("block", "inside", "most")
 
 
 KEYS = ["doc_id", "hash", "source_id", "copy"]

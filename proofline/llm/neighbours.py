@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, factorial
+from math import exp, factorial, frexp
 
 import numpy as np
 import pyarrow as pa
@@ -152,6 +152,12 @@ class Tree:
             self.verified += int(use.sum())
             rows, got = np.hstack([best[some], np.where(use, rows, -1)]), np.hstack([score[some], got])
             keep = np.argpartition(-got, width - 1, axis=1)[:, :width]
+            floor = np.take_along_axis(got, keep, 1).min(1) - 1e-13 * own[some]
+            for k in np.flatnonzero((got >= floor[:, None]).sum(1) > width):  # ties, or as good as: by the exact product, then by row
+                if np.isfinite(floor[k]):
+                    near = np.flatnonzero(got[k] >= floor[k])
+                    exact = (self.vectors[rows[k, near]] * q[some[k]]).sum(1)
+                    keep[k] = near[np.lexsort((rows[k, near], -exact))[:width]]
             best[some], score[some] = np.take_along_axis(rows, keep, 1), np.take_along_axis(got, keep, 1)
 
         first = np.zeros(bound.shape, bool)
@@ -192,7 +198,8 @@ def _search_shards(batches: Iterator[pa.RecordBatch], k: int, top: float, certai
         names, vectors = names.to_numpy(zero_copy_only=False)[order], np.concatenate(parts)[order]
         _, first, group = np.unique(vectors.view(np.dtype((np.void, vectors.shape[1] * 8))).ravel(), return_index=True, return_inverse=True)
         alike = [np.unique(names[x])[: k + 1] for x in np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])]
-        return Tree(vectors[first], top, certainty), alike
+        by_id = np.argsort(first, kind="stable")  # so that of equal products the lower row has the smaller id
+        return Tree(vectors[first[by_id]], top, certainty), [alike[x] for x in by_id]
 
     for b in batches:
         marks = np.stack([b.column(c).to_numpy() for c in range(4)])
@@ -238,7 +245,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     stopping test leaves open: a nearer neighbour there would show within the quantile of the k-th distance. So a
     vector is moved once a round, and a query only to where it may find something. A shard has one kd-tree and reads
     its queries in batches. Equal vectors of a shard are searched once; ties go to the smaller id. Rows with a query's
-    id are its own and never among its neighbours; rows of equal id and vector count once. Unusable vectors (null,
+    id are its own and never among its neighbours; rows of equal id and vector count once; of several vectors of one query id the
+    least is asked. Unusable vectors (null,
     zero, null or non-finite components) and null ids take no part, nor do vectors of another length than the
     query's. Empty tables give no rows; further columns, whatever their names, do not matter.
     """
@@ -247,9 +255,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     kind = vectors.schema[id_col].dataType.simpleString()
     take = lambda df: df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     index, asked = take(vectors), take(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n, top = index.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
+    n, biggest = index.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", F.abs)))).first()
     if not n:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
+    power = frexp(biggest)[1] - 1
+    power = power if abs(power) > 400 else 0  # squares would overflow or vanish; scaling by a power of two rounds nothing
+    scaled = lambda df: df.withColumn("v", F.transform("v", lambda x: x * 2.0**-power)) if power else df
+    index, asked = scaled(index), scaled(asked)
+    top = index.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     top, axes = float(top) * (1 + 1e-12), [f"p{i}" for i in range(DIMENSIONS)]
 
     def project(batches: Iterator[pa.RecordBatch], borders: Borders | None) -> Iterator[pa.RecordBatch]:
@@ -307,7 +320,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     least = ranked.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("least"))
     more = search(asked.join(least, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf")))), False)
     best = near.union(more).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "vec_id", "score")
+    return best.select("query_id", "rank", "vec_id", (F.col("score") * 2.0**power * 2.0**power if power else F.col("score")).alias("score"))
 
 
 def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

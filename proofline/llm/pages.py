@@ -50,22 +50,35 @@ HINT_GOOD = re.compile(r"^(?:article\w*|content|main|post|entry|story|body|text|
 WORDS_IN_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
+#: Ends of names that say how a part stands or whether there is one (`sidebar-left`, `comments-open`), which wrappers and articles bear too.
+STATES = set("left right top bottom fixed sticky open opened closed enabled disabled on off active visible page layout wide full collapsed expanded".split())
 #: Ancestors by which blocks are compared; sharing only higher ones weighs less than 2^-15 and counts as sharing none.
 NEAR = 16
 
 
 @dataclass
 class Node:
-    """An open element: its number, and what it and its ancestors come to."""
+    """An open element and its number."""
 
     tag: str
     serial: int
-    cost: float
     inside_article: bool
     hidden: bool
     heading: bool
 
 
+@dataclass
+class Element:
+    """An element, the number of the one around it, what its tag and names say, its own characters, whether it is a title."""
+
+    tag: str
+    parent: int
+    hints: list[tuple[str, float]]
+    title: bool = False
+    chars: int = 0
+    link_chars: int = 0
+
+
 @dataclass
 class Block:
     """A text, the numbers of its nearest ancestors and how many there are above, what these cost."""
@@ -82,23 +95,67 @@ def _attributes(tag: str, name: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(tag[1 + len(name) :].rstrip(">").rstrip("/"))}
 
 
-def _hint_cost(tag: str, attrs: dict[str, str], inside_article: bool) -> float:
-    """What tag, class, id and role say of an element."""
-    cost = 0.0 if tag == "header" and inside_article else TAG_COST.get(tag, 0.0)
+def _hints(tag: str, attrs: dict[str, str], inside_article: bool) -> list[tuple[str, float]]:
+    """(sort, cost) of what tag, class, id and role say of an element; how much it counts is told by what the element holds."""
+    out = []
+    if tag in TAG_COST and not (tag == "header" and inside_article):
+        out.append(("good" if TAG_COST[tag] > 0 else "bad", TAG_COST[tag]))
     if tag in ("html", "body"):
-        return cost
+        return out
     within, whole = inside_article or tag in ("article", "main"), tag in ("article", "main")
     for key in ("class", "id", "role"):
         for name in attrs.get(key, "").split():
-            words = [w.lower() for w in WORDS_IN_NAME.findall(name)] + [name.lower().replace("-", "").replace("_", "")]
+            parts = [w.lower() for w in WORDS_IN_NAME.findall(name)]
+            words = [*parts, name.lower().replace("-", "").replace("_", "")]
             good, bad = any(HINT_GOOD.match(w) for w in words), {w for w in words if HINT_BAD.match(w) and (not whole or HINT_OTHER.match(w))}
             if bad <= {"header", "head"} and bad and (good or inside_article):
                 continue  # the article's own heading
             if {"has", "with", "no"} & set(words):
                 continue  # says what else the page has
             loose = any(HINT_LOOSE.match(w) for w in words)
-            cost += HINT_COST if bad or loose and not within else LOOSE_COST if loose else 1.5 * good
-    return cost
+            if bad or loose and not within:
+                state = len(parts) > 1 and parts[-1] in STATES
+                out.append(("state" if state else "other" if any(HINT_OTHER.match(w) for w in words) else "bad", HINT_COST))
+            elif loose or good:
+                out.append(("good", LOOSE_COST if loose else 1.5))
+    return out
+
+
+def _costs_of_elements(elements: list[Element]) -> list[float]:
+    """What each element and those around it come to, ancestors first.
+
+    A bad name counts in full where it is the name of a part. It says nothing of what holds the page's article, be it
+    the article itself or a wrapper (`sidebar-left`, `menu-open`, a form round the page), and within the article
+    nothing of what is most of it.
+    """
+    plain = [e.chars - e.link_chars for e in elements]
+    titled = [e.title for e in elements]
+    for k in range(len(elements) - 1, 0, -1):
+        plain[elements[k].parent] += plain[k]
+        titled[elements[k].parent] |= titled[k]
+    apart = [False] * len(elements)  # in a comment, a teaser or an advert
+    for k, e in enumerate(elements[1:], 1):
+        apart[k] = apart[e.parent] or e.tag == "aside" or any(sort == "other" for sort, _ in e.hints)
+    ranked = [k for k, e in enumerate(elements) if e.tag in ("main", "article") and not apart[k] and plain[k]]
+    # The text of an article is weighed against all of the page; without any, what has most of the text and a title stands in.
+    article = max(ranked, key=lambda k: (elements[k].tag == "main", plain[k], -k), default=None)
+    holds = [False] * len(elements)
+    if article is None:
+        holds = [titled[k] and 2 * plain[k] >= plain[0] > 0 for k in range(len(elements))]
+    else:
+        k = article
+        while k:
+            holds[k] = True
+            k = elements[k].parent
+    within = [False] * len(elements)
+    out = [0.0] * len(elements)
+    for k, e in enumerate(elements[1:], 1):
+        within[k] = k == article or within[e.parent]
+        most = within[k] and article is not None and 2 * plain[k] >= plain[article] and plain[k] > 0
+        free = {"bad", "other", "state"} if holds[k] else {"bad", "state"} if most else {"state"} if (titled[k] or 5 * plain[k] >= 2 * plain[0] > 0) and not apart[e.parent] else set()
+        hint = sum(cost for sort, cost in e.hints if sort not in free)
+        out[k] = out[e.parent] + hint if hint < 0 else max(out[e.parent], min(3.0, out[e.parent] + hint))
+    return out
 
 
 def _closed(page: str) -> dict[int, int]:
@@ -119,7 +176,8 @@ def _closed(page: str) -> dict[int, int]:
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order: text between block tags, white space run together, blanks left out."""
     out: list[Block] = []
-    stack = [Node("", 0, 0.0, False, False, False)]
+    stack = [Node("", 0, False, False, False)]
+    elements = [Element("", 0, [])]
     open_: Counter = Counter()
     serial, at, n = 0, 0, len(page)
     text: list[str] = []
@@ -134,7 +192,9 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         if said and not top.hidden:
             path = tuple(x.serial for x in stack[-NEAR:])
-            out.append(Block(said, path, len(stack) - len(path), top.cost, min(1.0, link_chars / len(said)), top.heading))
+            out.append(Block(said, path, len(stack) - len(path), 0.0, min(1.0, link_chars / len(said)), top.heading))
+            elements[top.serial].chars += len(said)
+            elements[top.serial].link_chars += min(len(said), link_chars)
         text, link_chars = [], 0
 
     def say(part: str) -> None:
@@ -214,11 +274,13 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         hidden = name in SILENT or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(INVISIBLE.search(attrs.get("style", "")))
         serial += 1
-        hint = _hint_cost(name, attrs, top.inside_article)
-        cost = top.cost + hint if hint < 0 else max(top.cost, min(3.0, top.cost + hint))
-        stack.append(Node(name, serial, cost, top.inside_article or name in ("article", "main"), top.hidden or hidden, top.heading or name in HEADINGS))
+        elements.append(Element(name, top.serial, _hints(name, attrs, top.inside_article), name == "h1"))
+        stack.append(Node(name, serial, top.inside_article or name in ("article", "main"), top.hidden or hidden, top.heading or name in HEADINGS))
         open_[name] += 1
     flush()
+    total = _costs_of_elements(elements)
+    for b in out:
+        b.cost = total[b.path[-1]]
     return out
 
 

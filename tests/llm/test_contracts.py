@@ -137,7 +137,7 @@ def test_op6(spark, documents):
     assert set(got) == set(documents)
     for d, (_, _, s) in documents.items():
         assert got[d].source_size == sizes[s] and abs(got[d].target - want[s]) <= 1e-9 * max(1, want[s])
-    assert all(abs(taken[s] - x) <= 2 * 64 + 1 for s, x in want.items())
+    assert all(abs(taken[s] - x) <= 0.5 + 1e-6 for s, x in want.items())
     again = {r.doc_id: r for r in registry.QUERIES["op6_mixing"](spark, SF).collect()}
     assert again == got
 
@@ -187,10 +187,13 @@ def test_op9(spark, documents):
     assert len(sequences) * 2048 <= 1.1 * total + 2 * 2048
 
 
-def test_op10(spark, documents):
-    got = {r.doc_id: r for r in run(spark, "op10_toxicity", {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"})}
-    assert set(got) == set(documents)
+def test_op10(spark):
+    """On sf0.1, where some 350 toxic rows are there to learn from; judged by held-out rows of both labels."""
+    sf = SF.replace("sf0.001", "sf0.1")
+    got = {r.doc_id: r for r in registry.QUERIES["op10_toxicity"](spark, sf).select("doc_id", "held_out", "score", "predicted").collect()}
+    assert len(got) == duckdb.sql(f"SELECT count(DISTINCT doc_id) FROM '{sf}/documents.parquet'").fetchone()[0]
     for d, r in got.items():
         assert r.held_out == (crc(d) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
-    labels = {d: y for d, y in table("labels", "doc_id, toxic") if y in (0, 1) and d in documents}
-    assert sum(got[d].predicted == y for d, y in labels.items()) >= 0.8 * len(labels)  # learned from some 70 labels
+    held = {d: y for d, y in duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").fetchall() if d in got and got[d].held_out}
+    right = sum(got[d].predicted == 1 for d, y in held.items() if y)
+    assert right >= 0.7 * sum(held.values()) > 10 and right >= 0.7 * sum(got[d].predicted for d in held)

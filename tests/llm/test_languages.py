@@ -133,3 +133,11 @@ def test_texts_of_a_batch_do_not_touch():
     texts = [text(rng, "aa", 5), None, text(rng, "bb", 200), "", text(rng, "cc", 1)]
     assert model.predict(texts) == [model.predict([t])[0] for t in texts]
     assert Model([]).predict(["a"]) == [("und", 0.0, 1)]
+
+
+def test_letters_that_become_two_in_lower_case():
+    """Texts whose lower-cased words are twice as many as their characters let one think are grouped by what they become."""
+    model = fit(["the cat sat on the mat"] * 5 + ["le chat est sur la table"] * 5, ["en"] * 5 + ["fr"] * 5)
+    texts = ["\u0130" * 32_000, "\u0130" * 32_000, "the mat", "\u0130 " * 40_000]
+    got = model.predict(texts)
+    assert len(got) == 4 and [g[:2] for g in got] == [model.predict([t])[0][:2] for t in texts]

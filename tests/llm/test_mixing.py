@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 from proofline.llm import mixing
@@ -50,7 +50,7 @@ def test_mix(spark):
     for r in got:
         assert r.source_size == sizes[of[r.doc_id]] and abs(r.target - want[of[r.doc_id]]) <= 1e-9 * max(1, r.target)
     for s, t in want.items():
-        assert abs(taken[s] - t) <= 2 * 16 + 1
+        assert abs(taken[s] - t) <= 0.5 + 1e-6
     again = taken_words(*mix(df.repartition(7), block=16, shard=50)).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
     shards = spans.groupBy("shard").count().collect()
@@ -100,16 +100,26 @@ def test_draws_beyond_the_exact_generator(monkeypatch):
 
 
 def test_each_block_comes_as_often_as_its_source_needs(spark):
-    sources = spark.createDataFrame([(1, 640, 900.0), (2, 100, 200.0), (3, 0, 0.0), (4, 7, 3.0)], "source_id long, source_size long, target double")
+    sources = spark.createDataFrame([(1, 640, 900.0), (2, 100, 200.0), (3, 0, 0.0), (4, 7, 3.0), (5, 65, 129.6)], "source_id long, source_size long, target double")
     got = [tuple(r) for r in draws(sources, block=16, shard=10).collect()]
-    for sid, size, target in ((1, 640, 900.0), (2, 100, 200.0), (4, 7, 3.0)):
-        n, mine = -(-size // 16), [r for r in got if r[0] == sid]
-        want = min(max(int(target / 16 + 0.5), 1), 2 * n)
-        assert len(mine) == want and {r[1] for r in mine} <= set(range(n))
-        assert sorted((r[3], r[1]) for r in mine) == sorted((s // n, int(permuted(np.array([s % n]), n, sid)[0])) for s in range(want))
+    for sid, size, target in ((1, 640, 900), (2, 100, 200), (4, 7, 3), (5, 65, 130)):
+        n, mine = -(-size // 16), sorted((r[3], r[1], r[4]) for r in got if r[0] == sid)
+        words = lambda block, most, size=size, n=n: min(most, size - 16 * (n - 1) if block == n - 1 else 16)
+        assert sum(words(b, m) for _, b, m in mine) == target
+        times = Counter(b for _, b, _ in mine)
+        assert len(set(mine)) == len(mine) and max(times.values()) - min(times[b] for b in range(n)) <= 1
     assert {r[2] for r in got} == set(range(-(-len(got) // 10)))
 
 
+def test_small_sources_come_near_their_targets(spark):
+    for sizes in ((20, 65, 30), (1, 20, 65), (1, 1, 5000), (63, 64, 129)):
+        rows = [(k, " ".join(["w"] * n), "en", f"s{k}") for k, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+        taken = {r.doc_id: r.taken for r in taken_words(*mix(df)).collect()}
+        want = plain_targets({f"s{k}": n for k, n in enumerate(sizes)})
+        assert all(abs(taken[k] - want[f"s{k}"]) <= 0.5 + 1e-6 for k in taken), (taken, want)
+
+
 def test_targets_where_all_are_capped_or_empty(spark):
     for rows in ([("a", 0), ("b", 0)], [("a", 5)], [("a", 1), ("b", 1000), ("c", 3), (None, 7)]):
         df = spark.createDataFrame(rows, "source string, size long")

@@ -90,3 +90,27 @@ def test_rows(spark):
     assert {tuple(r) for r in nearest(few, few).collect()} == {(1000, 1, 1001, 54.0), (1001, 1, 1000, 54.0)}
     assert nearest(df.limit(0), df).count() == 0 and nearest(df, df.limit(0)).count() == 0
     assert nearest(df.union(df), df.where("vec_id = 20").union(df.where("vec_id = 20"))).count() == 20
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """399 different vectors of one product with the query, by rounding or exactly, over one shard and several."""
+    rng = np.random.default_rng(8)
+    ids = rng.permutation(np.arange(1, 400)).tolist()
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(a), float(b)]) for i, (a, b) in zip(ids, rng.standard_normal((399, 2)), strict=True)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for shard_rows in (16_384, 100):
+        got = nearest(df, df.where("vec_id = 0"), shard_rows=shard_rows, certainty=0.999999).collect()
+        assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(k, k, 1.0) for k in range(1, 21)]
+
+
+def test_huge_and_tiny_vectors(spark):
+    for size in (1e200, 1e-200):
+        rows = [(i, [size * 1e-50 * i, size * 1e-50]) if size > 1 else (i, [size * 1e50 * i, size * 1e50]) for i in range(1, 31)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = nearest(df, df.where("vec_id = 20"), k=5).collect()
+        assert sorted((r.rank, r.vec_id) for r in got) == [(1, 30), (2, 29), (3, 28), (4, 27), (5, 26)]
+        known = dict(rows)
+        assert all(r.score == float((np.array(known[r.vec_id]) * np.array(known[20])).sum()) for r in got)
+    rows = [(i, [1e300 if i == 3 else float(i), 1.0]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert nearest(df, df.where("vec_id = 20"), k=5).count() == 5

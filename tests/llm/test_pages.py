@@ -106,3 +106,26 @@ def test_an_article_is_not_judged_by_what_it_is_about(name):
 def test_formulas_are_text():
     said = "The sum of the squares, which is written out below, is never smaller than twice the product: "
     assert main_text(f"<article><p>{said}<math><mi>x</mi> &gt; 2</math> holds.</p></article>") == f"{said}x > 2 holds."
+
+
+PARAGRAPH = "The brewery opened in 1874 near the river and has made ale there ever since, with water from its own well. "
+ARTICLE = "<h1>The old brewery</h1>" + f"<p>{PARAGRAPH * 2}</p>" * 3
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav><header><a href="/">Site</a></header>'
+SIDE = '<div class="sidebar-left"><ul><li><a href="/x">Related one</a></li><li><a href="/y">Other two</a></li></ul><p>Follow us now.</p></div>'
+COMMENTS = f'<div id="comments"><article class="comment"><p>{PARAGRAPH * 4} I agree.</p></article><article class="comment"><p>{PARAGRAPH * 9} Me too.</p></article></div>'
+FOOT = "<footer><p>Copyright 2024. All rights reserved.</p></footer>"
+LAYOUTS = [
+    *[f'<div class="{c}">{MENU}{a}{SIDE}{COMMENTS}</div>{FOOT}' for c in ("layout sidebar-left", "page header-fixed", "menu-open", "search-page", "banner-top-page") for a in (f"<article>{ARTICLE}</article>", f'<div class="post">{ARTICLE}</div>', f"<main>{ARTICLE}</main>")],
+    f'<form id="aspnetForm">{MENU}<article>{ARTICLE}</article>{SIDE}{COMMENTS}{FOOT}</form>',
+    f'<form id="aspnetForm">{MENU}<div class="content">{ARTICLE}</div>{SIDE}{FOOT}</form>',
+    f'{MENU}<article class="post comments-open">{ARTICLE}</article>{SIDE}{COMMENTS}{FOOT}',
+    f'{MENU}<div class="post social-enabled">{ARTICLE}</div>{SIDE}{COMMENTS}{FOOT}',
+    f'{MENU}<article><section class="legal">{ARTICLE}</section></article>{SIDE}{COMMENTS}{FOOT}',
+    f'{MENU}<article>{ARTICLE}<div class="share">Share this on all networks now.</div></article>{SIDE}{COMMENTS}{FOOT}',
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_names_of_layout_say_nothing_of_the_article(page):
+    """Wrappers, forms and articles with names of menus, sidebars and comments keep the article; parts of these names go."""
+    assert main_text(f"<html><body>{page}</body></html>").split("\n") == ["The old brewery", *[(PARAGRAPH * 2).strip()] * 3]
