@@ -73,5 +73,7 @@ MAX_EDGE_PIXELS, SMALL_IMAGE_BYTES = 1568, 400 * 1024
 
 # Flow
 RATE_LIMIT, RATE_WINDOW_MS = 400, 60_000
+#: Clients whose windows a limiter keeps; beyond, the oldest go.
+MOST_CLIENTS = 10_000
 BUDGET_MS, BACKOFF_FIRST_MS, BACKOFF_MOST_MS = 5000, 500, 15_000
 VERDICT_RANK = {"fail": 0, "unreadable": 1, "review": 2, "pass": 3, "not_applicable": 4}

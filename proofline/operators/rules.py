@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,8 +160,8 @@ def verify_labels(applications: DataFrame, extractions: DataFrame, on: str = "fi
     return verify_pairs(joined, on)
 
 
-def verify_pairs(joined: DataFrame, on: str = "filename_key") -> DataFrame:
-    """verify_labels() of rows that have both: the application's columns as a_*, the reading's as they are."""
+def verify_pairs(joined: DataFrame, on: str = "filename_key", keep: Sequence[str] = ()) -> DataFrame:
+    """verify_labels() of rows that have both: the application's columns as a_*, the reading's as they are; `keep` names columns that stay."""
     col, filed = F.col, lambda c: F.col(f"a_{c}")
     text = lambda c: F.col(c)["text"]
     trade = trimmed(filed("label_company_name"))
@@ -195,4 +197,4 @@ def verify_pairs(joined: DataFrame, on: str = "filename_key") -> DataFrame:
     step = step.withColumn("_summary", summarise(col("checks")))
     step = step.withColumns(override_unreviewable(col("image_quality"), col("checks"), col("_summary")))
     diff = F.when(col("government_warning").isNotNull(), col("_diff"))
-    return step.select(on, filed("application_id").alias("application_id"), filed("brand_name").alias("brand_name"), "recommendation", "headline", "checks", "image_quality", "notes", diff.alias("warning_diff"), "extraction_ms", "reader")
+    return step.select(on, filed("application_id").alias("application_id"), filed("brand_name").alias("brand_name"), "recommendation", "headline", "checks", "image_quality", "notes", diff.alias("warning_diff"), "extraction_ms", "reader", *keep)

@@ -56,6 +56,11 @@ def padded(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
 
 
+def utc(at: Column, pattern: str) -> Column:
+    """A time as UTC has it, whatever the session's time zone."""
+    return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern)
+
+
 def provenance(check: Column) -> Column:
     """The regulation, rule and confidence of a check in one line."""
     sure = F.concat(F.lit("Reading confidence: "), F.floor(check["confidence"] * 100 + 0.5).cast("string"), F.lit("%"))
@@ -87,7 +92,7 @@ def report_text(application: Column, report: Column, filename: Column, at: Colum
     return F.concat(
         join(
             thick, F.lit("VERIFICATION RECORD"), thick, F.lit(""), line("Result", lookup(RECOMMENDATION_WORDS, report["recommendation"])), wrap(report["headline"], 60, " " * 19), F.lit(""),
-            line("Generated", F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), line("Label artwork", filename), line("Reader", report["reader"]), line("Time taken", F.format_string("%.1fs", report["extraction_ms"] / 1000.0)), F.lit(""),
+            line("Generated", utc(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")), line("Label artwork", filename), line("Reader", report["reader"]), line("Time taken", F.format_string("%.1fs", report["extraction_ms"] / 1000.0)), F.lit(""),
             rule, F.lit("APPLICATION AS FILED"), rule, F.array_join(F.transform(filed_fields(application), lambda p: F.concat(F.lit("  "), padded(p["label"], 22), F.lit(" "), p["value"])), "\n"), F.lit(""),
             group("COMPARED WITH THE APPLICATION", "match"), group("REQUIRED BY REGULATION", "compliance"), poor,
             F.when(F.size(notes) > 0, join(rule, F.lit("OTHER OBSERVATIONS"), rule, bullet(notes), F.lit(""))),
@@ -116,8 +121,8 @@ def zip_entries(names: pd.Series, contents: pd.Series, at: pd.Series) -> pd.Seri
 def case_files(rows: DataFrame, application: str = "application", report: str = "report", image: str = "content", filename: str = "filename", at: str = "at", keep: Sequence[str] = ()) -> DataFrame:
     """(keep, name, bytes): an archive for each row of record, its data and the picture, named by reference and day."""
     a, r = F.col(application), F.col(report)
-    data = F.to_json(F.struct(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), a.alias("application"), r.alias("report")), {"pretty": "true"})
-    name = F.concat(F.lit("label-check-"), slug(F.coalesce(a["application_id"], a["brand_name"])), F.lit("-"), F.date_format(at, "yyyy-MM-dd"), F.lit(".zip"))
+    data = F.to_json(F.struct(utc(F.col(at), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), a.alias("application"), r.alias("report")), {"pretty": "true"})
+    name = F.concat(F.lit("label-check-"), slug(F.coalesce(a["application_id"], a["brand_name"])), F.lit("-"), utc(F.col(at), "yyyy-MM-dd"), F.lit(".zip"))
     contents = F.array(F.encode(report_text(a, r, F.col(filename), F.col(at)), "UTF-8"), F.encode(data, "UTF-8"), F.col(image))
     return rows.select(*keep, name.alias("name"), zip_entries(F.array(F.lit("report.txt"), F.lit("report.json"), F.col(filename)), contents, F.col(at)).alias("bytes"))
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
-from ..constants import RATE_LIMIT, RATE_WINDOW_MS
+from ..constants import MOST_CLIENTS, RATE_LIMIT, RATE_WINDOW_MS
 from ..sources.shared import write_shared
 
 #: Different times of a busy spell that are gone through in order as one array; longer spells are worked on by many tasks.
@@ -126,38 +127,65 @@ def rate_limit(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RA
 
 
 class Limiter(StatefulProcessor):
-    """One window a key in a stream; its state goes when the window's time is over, by the state's time to live."""
+    """Windows of the keys of one shard, `most_keys` and one at most, however many keys come.
 
-    def __init__(self, limit: int, window_ms: int, key: str, at: str, order: str) -> None:
-        self.limit, self.window_ms, self.key, self.at, self.order = limit, window_ms, key, at, order
+    A map from a key to its window and its place in the order of first requests. When it is full, windows that are
+    over go before a request is looked at, and if that is not enough, the keys that came first. A shard's map is read
+    once a batch, its changes are written at the end.
+    """
+
+    def __init__(self, limit: int, window_ms: int, most_keys: int, columns: list[str], at: str, order: str) -> None:
+        self.limit, self.window_ms, self.most_keys, self.columns, self.at, self.order = limit, window_ms, most_keys, columns, at, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.window = handle.getValueState("window", STATE, self.window_ms)
+        self.windows = handle.getMapState("windows", T.StructType([T.StructField("key", T.StringType())]), T.StructType([*STATE.fields, T.StructField("place", T.LongType())]))
+
+    def sweep(self, held: dict[str, list[int]], now: int) -> None:
+        for key in [k for k, (_, reset_at, _) in held.items() if reset_at <= now]:
+            del held[key]
+        for key in list(islice(held, max(0, len(held) - self.most_keys))):
+            del held[key]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.window.get() if self.window.exists() else (0, 0)
-        state = (int(held[0]), int(held[1]))
+        stored = {k[0]: [int(x) for x in v] for k, v in self.windows.iterator()}
+        held = dict(sorted(((k, list(v)) for k, v in stored.items()), key=lambda x: x[1][2]))  # in order of first requests
+        place = max((v[2] for v in held.values()), default=-1) + 1
         batch = pd.concat(list(rows)).sort_values([self.at, self.order], ignore_index=True)
         out = []
-        for t in batch[self.at]:
-            *state, said = admit(*state, int(t), self.limit, self.window_ms)
+        for k, t in zip(batch["limiter_client"], batch[self.at], strict=True):
+            if len(held) >= self.most_keys:
+                self.sweep(held, int(t))
+            if k not in held:
+                held[k] = [0, 0, place]
+                place += 1
+            count, reset_at, said = admit(*held[k][:2], int(t), self.limit, self.window_ms)
+            held[k][:2] = [count, reset_at]
             out.append(said)
-        self.window.update(tuple(state))
-        yield pd.concat([batch[[self.key, self.order, self.at]], pd.DataFrame(out, columns=OUTPUT)], axis=1)
+        for k in stored.keys() - held.keys():
+            self.windows.removeKey((k,))
+        for k, v in held.items():
+            if stored.get(k) != v:
+                self.windows.updateValue((k,), tuple(v))
+        yield pd.concat([batch[self.columns], pd.DataFrame(out, columns=OUTPUT)], axis=1)
 
     def close(self) -> None:
         pass
 
 
-def rate_limit_stream(requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RATE_WINDOW_MS, key: str = "key", at: str = "at_ms", order: str = "request_id") -> DataFrame:
-    """rate_limit() of a stream: processing time, no watermark; needs the RocksDB state store.
+def rate_limit_stream(
+    requests: DataFrame, limit: int = RATE_LIMIT, window_ms: int = RATE_WINDOW_MS, key: str = "key", at: str = "at_ms", order: str = "request_id",
+    carry: Sequence[str] = (), most_keys: int = MOST_CLIENTS, shards: int = 64,
+) -> DataFrame:
+    """rate_limit() of a stream, with the columns of `carry`; needs the RocksDB state store.
 
-    As state has a time to live, batches without data go on; a query that is to end with its input (availableNow)
-    needs spark.sql.streaming.noDataMicroBatches.enabled to be false.
+    Keys are dealt to a fixed number of shards by hash; each keeps `most_keys` windows, so a flood of keys lets old
+    ones be forgotten, but state does not grow. Null keys are one key.
     """
-    given = requests.select(key, order, at)
+    given = requests.select(key, order, at, *carry)
     schema = T.StructType([*given.schema.fields, T.StructField("allowed", T.BooleanType()), T.StructField("remaining", T.LongType()), T.StructField("retry_after_seconds", T.LongType())])
-    return given.groupBy(key).transformWithStateInPandas(Limiter(limit, window_ms, key, at, order), schema, "Update", "ProcessingTime")
+    name = F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")).alias("limiter_client")
+    dealt = given.select("*", name).withColumn("limiter_shard", F.pmod(F.xxhash64("limiter_client"), F.lit(shards)))
+    return dealt.groupBy("limiter_shard").transformWithStateInPandas(Limiter(limit, window_ms, most_keys, given.columns, at, order), schema, "Update", "None")
 
 
 def refused_share(limited: DataFrame) -> DataFrame:
