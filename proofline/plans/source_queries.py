@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contrast, fills, parse, scalars, text
-from ..operators import pictures, scores
+from ..operators import pictures, scores, sweeps
 from ..schemas import CHECK
 from ..sources import readers, sinks
 from ..sources.shared import shared_folder
@@ -257,6 +257,13 @@ def _box_sql(name: str, x: float, y: float, w: float, h: float) -> str:
         FROM pix WHERE x >= {left} AND x < {left + cw} AND y >= {top} AND y < {top + ch}"""
 
 
+def _painted(d: DataFrame) -> DataFrame:
+    """Pictures as pixels, by formula."""
+    places = d.select("image_id", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), F.explode(F.sequence(F.lit(0), F.lit(WIDE * HIGH - 1))).alias("pixel_idx"))
+    places = places.withColumns({"x": F.col("pixel_idx") % WIDE, "y": F.floor(F.col("pixel_idx") / WIDE)})
+    return places.select("image_id", "width", "height", "pixel_idx", *[F.expr(c).cast("int").alias(n) for n, c in (("r", RED), ("g", GREEN), ("b", BLUE))])
+
+
 @query(
     "SELECT n_nationkey AS image_id FROM {nation}",
     f""", pix AS (SELECT image_id, x, y, CAST({RED} AS INT) AS r, CAST({GREEN} AS INT) AS g, CAST({BLUE} AS INT) AS b FROM given, (SELECT unnest(range({WIDE})) AS x) AS xs, (SELECT unnest(range({HIGH})) AS y) AS ys),
@@ -268,10 +275,23 @@ def _box_sql(name: str, x: float, y: float, w: float, h: float) -> str:
     SELECT w.image_id, round(w.c, 6) AS measured, round(w.c / l.c, 6) AS relative, w.ink_hex FROM ratios AS w JOIN ratios AS l ON w.image_id = l.image_id AND w.box = 'warning' AND l.box = 'label'""",
 )
 def measured_contrast(d: DataFrame) -> DataFrame:
-    places = d.select("image_id", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"), F.explode(F.sequence(F.lit(0), F.lit(WIDE * HIGH - 1))).alias("pixel_idx"))
-    places = places.withColumns({"x": F.col("pixel_idx") % WIDE, "y": F.floor(F.col("pixel_idx") / WIDE)})
-    pixels = places.select("image_id", "width", "height", "pixel_idx", *[F.expr(c).cast("int").alias(n) for n, c in (("r", RED), ("g", GREEN), ("b", BLUE))])
+    pixels = _painted(d)
     where = d.select("image_id", F.struct(*[F.lit(v).alias(n) for v, n in zip((0.1, 0.5, 0.8, 0.4), ("x", "y", "width", "height"), strict=True)]).alias("bounds"))
     reads = d.select(F.col("image_id").alias("filename_key"), F.struct(F.lit("w").alias("text"), F.lit(None).cast("struct<measured_contrast:double,relative_contrast:double,text_color_hex:string,background_color_hex:string>").alias("appearance")).alias("government_warning"))
     got = pictures.with_appearance(reads, pictures.relative_contrast(pixels, where)).select(F.col("filename_key").alias("image_id"), "government_warning.appearance.*")
     return got.select("image_id", F.round("measured_contrast", 6).alias("measured"), F.round("relative_contrast", 6).alias("relative"), F.col("text_color_hex").alias("ink_hex"))
+
+
+@query(
+    "SELECT n_nationkey AS image_id FROM {nation}",
+    f""", pix AS (SELECT image_id, x, y, CAST({RED} AS INT) AS r, CAST({GREEN} AS INT) AS g, CAST({BLUE} AS INT) AS b FROM given, (SELECT unnest(range({WIDE})) AS x) AS xs, (SELECT unnest(range({HIGH})) AS y) AS ys),
+    ranked AS ({_box_sql('loose', 0.05, 0.74, 0.9, 0.2)} UNION ALL {_box_sql('looser', 0.03, 0.68, 0.94, 0.3)} UNION ALL {_box_sql('overrunning', 0.05, 0.72, 0.9, 0.4)}),
+    lit AS (SELECT *, 0.2126 * {LUM('r')} + 0.7152 * {LUM('g')} + 0.0722 * {LUM('b')} AS l FROM ranked),
+    ends AS (SELECT image_id, box, max(CASE WHEN k = least(n - 1, CAST(floor(0.02 * n) AS BIGINT)) THEN l END) AS ink, max(CASE WHEN k = least(n - 1, CAST(floor(0.9 * n) AS BIGINT)) THEN l END) AS paper FROM lit GROUP BY 1, 2),
+    ratios AS (SELECT image_id, box AS box_id, (greatest(ink, paper) + 0.05) / (least(ink, paper) + 0.05) AS c FROM ends)
+    SELECT image_id, box_id, round(c, 6) AS measured, round(min(c) OVER (PARTITION BY image_id), 6) AS worst FROM ratios""",
+)
+def contrast_sweep(d: DataFrame) -> DataFrame:
+    frames = d.select("image_id", F.lit(WIDE).alias("width"), F.lit(HIGH).alias("height"))
+    measured = sweeps.sweep(_painted(d), pictures.box_shapes(frames))
+    return measured.join(pictures.worst_contrast(measured), "image_id").select("image_id", "box_id", F.round("contrast", 6).alias("measured"), F.round("worst", 6).alias("worst"))

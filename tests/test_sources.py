@@ -1,13 +1,14 @@
 import csv
 import io
 import json
+import random
 import zipfile
 import zlib
 
 import pytest
 
 from proofline.constants import STATUTORY_WARNING
-from proofline.operators import pictures, rollup, scores
+from proofline.operators import pictures, rollup, scores, sweeps
 from proofline.operators.rules import verify_labels
 from proofline.schemas import APPLICATION, EXTRACTION
 from proofline.sources import readers, sinks
@@ -141,6 +142,19 @@ def test_case_file(spark):
     assert ok.status == 200 and json.loads(ok.body)["isDemoReader"] is True and (bad.status, json.loads(bad.body)) == (400, {"error": "bad_request", "message": "image: missing"})
 
 
+def test_a_sweep_measures_what_each_box_by_itself_does(spark):
+    """Flat parts, noise, colours of one brightness, boxes that share borders, lie in one another, are off or too small."""
+    rng = random.Random(3)
+    w, h = 48, 30
+    paint = {"flat": lambda k: (240, 240, 240) if k % w < 40 else (9, 9, 9), "noise": lambda k: (rng.randrange(256), rng.randrange(256), rng.randrange(256)), "twins": lambda k: rng.choice([(100, 0, 0), (0, 0, 100), (7, 7, 7)]) if k % 3 else (200, 200, 200)}
+    rows = [(i, w, h, k, *f(k)) for i, f in paint.items() for k in range(w * h)]
+    pixels = spark.createDataFrame(rows, "image_id string, width int, height int, pixel_idx int, r int, g int, b int")
+    shapes = [(0.0, 0.0, 1.0, 1.0), (0.1, 0.1, 0.8, 0.5), (0.1, 0.1, 0.8, 0.8), (0.3, 0.3, 0.5, 0.5), (2.0, 3.0, 40.0, 60.0), (0.01, 0.01, 0.01, 0.01), (0.5, 0.5, 0.5, 0.5)]
+    boxes = spark.createDataFrame([(i, f"b{n}", s) for i in [*paint, "none"] for n, s in enumerate(shapes)], "image_id string, box_id string, bounds struct<x:double,y:double,width:double,height:double>")
+    got, want = ({(r.image_id, r.box_id): tuple(r)[2:] for r in f(pixels, boxes).collect()} for f in (sweeps.sweep, pictures.measure))
+    assert got == want and sum(v[0] is not None for v in got.values()) == 18
+
+
 def test_pictures(spark):
     w, h = 40, 20
     rows = [("i", w, h, k, *((0, 0, 0) if (k // w) % 4 == 0 else (255, 255, 255) if k // w < 12 else (250, 250, 250) if k % 7 else (200, 200, 200))) for k in range(w * h)]
