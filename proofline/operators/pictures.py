@@ -8,14 +8,46 @@ from pyspark.sql.window import Window
 
 from ..constants import INK_PERCENTILE, PAPER_PERCENTILE, WHOLE_LABEL
 from ..functions.contrast import crop, ratio_of, relative_luminance, to_hex
+from ..sources.shared import write_shared
+
+
+#: Equal parts of a group's range of values that are counted before any values are looked at one by one.
+PARTS = 65_536
+
+
+def at_rank(counts: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
+    """The rows of counts in which a rank, from 0, falls when they are laid end to end by value; `rank` becomes the rank within."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counts.withColumns({"before": before, "wanted": rank})
+    return placed.where((F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("n"))).withColumn("rank", F.col("wanted") - F.col("before")).drop("before", "wanted", "n")
+
+
+def _selected(rows: DataFrame, value: str) -> DataFrame:
+    """The rows of each (group, pick) that have the value at its `rank`, which becomes the rank among these; no group is sorted.
+
+    First the part of the range in which the rank falls, by counts, then the value in it, by counts of equal values.
+    """
+    keys, v = ["group", "pick"], F.col(value).cast("double")
+    ends = rows.groupBy(*keys).agg(F.min(v).alias("low"), F.max(v).alias("high"))
+    part = F.when(v.isNull(), -1).when(F.col("high") > F.col("low"), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * PARTS)).otherwise(0)
+    parted = rows.join(ends, keys).withColumns({"part": part, "held": F.struct(value)})  # a struct of a null equals itself
+    found = at_rank(parted.groupBy(*keys, "part", "rank").agg(F.count(F.lit(1)).alias("n")), keys, "part", F.col("rank"))
+    near = parted.drop("rank").join(found, [*keys, "part"])
+    exact = at_rank(near.groupBy(*keys, "held", "rank").agg(F.count(F.lit(1)).alias("n")), keys, "held", F.col("rank"))
+    return near.drop("rank").join(exact, [*keys, "held"]).drop("low", "high", "part", "held")
 
 
 def pick_percentiles(rows: DataFrame, key: list[str], value: str, tie: str, percentiles: dict[str, float], what: Column) -> DataFrame:
-    """(key, a column for each percentile): `what` of the row at index min(n - 1, floor(p n)) by value, ties by `tie`."""
-    w = Window.partitionBy(*key)
-    ranked = rows.withColumn("_k", F.row_number().over(w.orderBy(value, tie)) - 1).withColumn("_n", F.count(F.lit(1)).over(w))
-    at = lambda p: F.col("_k") == F.least(F.col("_n") - 1, F.floor(F.lit(p) * F.col("_n")))
-    return ranked.groupBy(*key).agg(*[F.max(F.when(at(p), what)).alias(n) for n, p in percentiles.items()])
+    """(key, a column for each percentile): `what` of the row at index min(n - 1, floor(p n)) by value, ties by `tie`; numbers, nulls first.
+
+    By selection, so that a group is the work of many tasks: the value, then the tie among rows that have it.
+    """
+    given = rows.select(F.struct(*key).alias("group"), F.col(value).alias("value"), F.col(tie).alias("tie"), what.alias("what"))
+    index = lambda p: F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n")))
+    picks = F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), index(p).alias("rank")) for n, p in percentiles.items()]))
+    asked = given.groupBy("group").agg(F.count(F.lit(1)).alias("n")).select("group", picks.alias("p")).select("group", "p.*")
+    found = _selected(write_shared(_selected(given.join(asked, "group"), "value")), "tie")
+    return found.groupBy("group").agg(*[F.max(F.when(F.col("pick") == n, F.col("what"))).alias(n) for n in percentiles]).select("group.*", *percentiles)
 
 
 def measure(pixels: DataFrame, boxes: DataFrame) -> DataFrame:

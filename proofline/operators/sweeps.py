@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..constants import INK_PERCENTILE, PAPER_PERCENTILE
 from ..functions.contrast import crop, ratio_of, relative_luminance, to_hex
 from ..sources.shared import write_shared
+from .pictures import at_rank
 
 
 def _strip(borders: str, at: Column) -> Column:
@@ -37,13 +38,6 @@ def box_histograms(cells: DataFrame, cut: DataFrame) -> DataFrame:
     return corners.join(summed, ["image_id", "x", "y"]).groupBy("image_id", "box_id", "bin").agg(F.sum(F.col("sign") * F.col("n")).alias("n")).where("n > 0")
 
 
-def _at_rank(counts: DataFrame, keys: list[str], value: str, rank: Column) -> DataFrame:
-    """The rows of counts in which a rank, from 0, falls when they are laid end to end by value; `rank` becomes the rank within."""
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counts.withColumns({"before": before, "wanted": rank})
-    return placed.where((F.col("before") <= F.col("wanted")) & (F.col("wanted") < F.col("before") + F.col("n"))).withColumn("rank", F.col("wanted") - F.col("before")).drop("before", "wanted", "n")
-
-
 def sweep(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     """measure() of many boxes: (image_id, box_id, contrast, ink_hex, paper_hex), exactly, without sorting a box's pixels.
 
@@ -67,14 +61,14 @@ def sweep(pixels: DataFrame, boxes: DataFrame) -> DataFrame:
     asked = shown.withColumn("total", total).select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("pick"), index(p).alias("index")) for n, p in (("ink", INK_PERCENTILE), ("paper", PAPER_PERCENTILE))])).alias("a"))
     asked = asked.select("image_id", "box_id", "bin", "n", "a.*")
     keys = ["image_id", "box_id", "pick"]
-    in_bin = write_shared(_at_rank(asked, keys, "bin", F.col("index")).join(cut.select("image_id", "box_id", "box"), ["image_id", "box_id"]).drop("index"))
+    in_bin = write_shared(at_rank(asked, keys, "bin", F.col("index")).join(cut.select("image_id", "box_id", "box"), ["image_id", "box_id"]).drop("index"))
 
     box = F.col("box")
     inside = (F.col("px") >= box["left"]) & (F.col("px") < box["left"] + box["width"]) & (F.col("py") >= box["top"]) & (F.col("py") < box["top"] + box["height"])
     near = seen.join(in_bin, ["image_id", "bin"]).where(inside)
     colour = F.struct("r", "g", "b")
     values = near.groupBy(*keys, "rank", "luma").agg(F.count(F.lit(1)).alias("n"), F.min(colour).alias("least"), F.max(colour).alias("most"))
-    exact = write_shared(_at_rank(values, keys, "luma", F.col("rank")))
+    exact = write_shared(at_rank(values, keys, "luma", F.col("rank")))
     same = exact.where(F.col("least") == F.col("most")).select(*keys, F.col("least").alias("colour"))
     mixed = near.drop("rank").join(exact.where(F.col("least") != F.col("most")).select(*keys, "luma", "rank"), [*keys, "luma"])
     placed = mixed.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("pixel_idx")) - 1).where("k = rank").select(*keys, colour.alias("colour"))

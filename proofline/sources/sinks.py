@@ -56,7 +56,7 @@ def padded(c: Column, width: int) -> Column:
     return F.when(F.length(c) < width, F.rpad(c, width, " ")).otherwise(c)
 
 
-def utc(at: Column, pattern: str) -> Column:
+def utc(at: Column | str, pattern: str) -> Column:
     """A time as UTC has it, whatever the session's time zone."""
     return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), pattern)
 
@@ -121,10 +121,10 @@ def zip_entries(names: pd.Series, contents: pd.Series, at: pd.Series) -> pd.Seri
 def case_files(rows: DataFrame, application: str = "application", report: str = "report", image: str = "content", filename: str = "filename", at: str = "at", keep: Sequence[str] = ()) -> DataFrame:
     """(keep, name, bytes): an archive for each row of record, its data and the picture, named by reference and day."""
     a, r = F.col(application), F.col(report)
-    data = F.to_json(F.struct(utc(F.col(at), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), a.alias("application"), r.alias("report")), {"pretty": "true"})
-    name = F.concat(F.lit("label-check-"), slug(F.coalesce(a["application_id"], a["brand_name"])), F.lit("-"), utc(F.col(at), "yyyy-MM-dd"), F.lit(".zip"))
+    data = F.to_json(F.struct(utc(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("generatedAt"), a.alias("application"), r.alias("report")), {"pretty": "true"})
+    name = F.concat(F.lit("label-check-"), slug(F.coalesce(a["application_id"], a["brand_name"])), F.lit("-"), utc(at, "yyyy-MM-dd"), F.lit(".zip"))
     contents = F.array(F.encode(report_text(a, r, F.col(filename), F.col(at)), "UTF-8"), F.encode(data, "UTF-8"), F.col(image))
-    return rows.select(*keep, name.alias("name"), zip_entries(F.array(F.lit("report.txt"), F.lit("report.json"), F.col(filename)), contents, F.col(at)).alias("bytes"))
+    return rows.select(*keep, name.alias("name"), zip_entries(F.array(F.lit("report.txt"), F.lit("report.json"), F.col(filename)), contents, F.to_utc_timestamp(at, F.current_timezone())).alias("bytes"))
 
 
 def responses(rows: DataFrame, report: str = "report", error: str = "error", reader: str = "reader", usage: str | None = None, failure: str | None = None, retry_after: str | None = None, keep: Sequence[str] = ()) -> DataFrame:

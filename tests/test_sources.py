@@ -138,6 +138,12 @@ def test_case_file(spark):
     text = z.read("report.txt").decode()
     assert "Result:            NO PROBLEMS FOUND" in text and "  Brand name             Old Tom" in text and "TTB ID" not in text and "[MATCHES]  Brand Name" in text
     assert "Regulation: 27 CFR 5.63   Rule: normalised-match:case   Reading confidence: 90%" in text and "  - glare" in text and max(map(len, text.split("\n"))) < 320
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        there = sinks.case_files(rows.withColumn("at", F.timestamp_seconds(F.lit(0)))).first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert there.name.endswith("-1970-01-01.zip") and b'"1970-01-01T00:00:00.000Z"' in bytes(there.bytes) and b"Generated:         1970-01-01T00:00:00.000Z" in bytes(there.bytes)
     ok, bad = sinks.responses(rows).first(), sinks.responses(rows.withColumn("error", F.lit("image: missing"))).first()
     assert ok.status == 200 and json.loads(ok.body)["isDemoReader"] is True and (bad.status, json.loads(bad.body)) == (400, {"error": "bad_request", "message": "image: missing"})
 
