@@ -197,3 +197,31 @@ def test_op10(spark):
     held = {d: y for d, y in duckdb.sql(f"SELECT doc_id, toxic FROM '{sf}/labels.parquet' WHERE toxic IS NOT NULL").fetchall() if d in got and got[d].held_out}
     right = sum(got[d].predicted == 1 for d, y in held.items() if y)
     assert right >= 0.7 * sum(held.values()) > 10 and right >= 0.7 * sum(got[d].predicted for d in held)
+
+
+@pytest.mark.parametrize("name", ["op11_divergence", "op12_resampling"])
+def test_queries_with_sql(spark, name):
+    c = duckdb.connect()
+    for p in Path(SF).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    want = c.execute(registry.ORACLES[name])
+    names = [d[0] for d in want.description]
+    got = registry.QUERIES[name](spark, SF)
+    kinds = {"lang": "string", "source": "string", "part": "string", "item": "string", "rank": "int" if name == "op11_divergence" else "bigint"}
+    assert dict(got.dtypes) == {n: kinds.get(n, "bigint") for n in names}
+    assert sorted(map(tuple, got.select(*names).collect()), key=repr) == sorted(want.fetchall(), key=repr)
+
+
+def test_op13(spark, documents):
+    from test_personal import plain_base
+
+    types = {"doc_id": "bigint", "n_email": "bigint", "n_ip": "bigint", "n_card": "bigint", "n_phone": "bigint", "base_sha256": "string", "spans": "string"}
+    got = {r.doc_id: r for r in run(spark, "op13_personal", types)}
+    assert set(got) == set(documents)
+    for d, (t, *_) in documents.items():
+        base = plain_base(t or "")
+        said = [":".join(map(str, x)) for x in base]
+        r = got[d]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == x[0] for x in base) for k in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(filter(None, r.spans.split(",")))
