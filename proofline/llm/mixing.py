@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORDS, load, null_safe_join, running_sum, ship, small, written
+from .common import WORDS, load, null_safe_join, release, running_sum, ship, small, written
 
 #: Words a block has (the last of a source may have fewer).
 BLOCK = 64
@@ -141,6 +141,7 @@ def draws(sources: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int
                         blocks = np.where(at < n - 1, permuted(np.minimum(at, max(0, n - 2)), max(1, n - 1), int(ids[k]) + (seed << 32)), n - 1)
                         cols = [np.full(s.size, ids[k]), blocks, np.full(s.size, h), s // n, np.where(s == slots[k] - 1, last[k], block)]
                         yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["source_id", "block", "shard", "epoch", "most"])
+        release()
 
     numbers = sources.sparkSession.range(0, shards, 1, max(1, min(shards, MOST_TASKS))).withColumnRenamed("id", "number")
     return numbers.mapInArrow(run, "source_id long, block long, shard long, epoch long, most long")
