@@ -12,6 +12,7 @@ from ..functions.fills import check_fill
 from ..functions.parse import alcohol_text, format_volume, parse_alcohol, parse_volume, proof_consistent, tolerance, volume_text
 from ..functions.text import combined_similarity, contains_all, extra_tokens, forms, is_blank, ladder_level, plain_number, trimmed
 from ..functions.warning import assess, compatible, warning_diff, words
+from ..sources.shared import evenly
 from .rollup import override_unreviewable, reviewable, summarise
 
 
@@ -154,10 +155,11 @@ def verify_labels(applications: DataFrame, extractions: DataFrame, on: str = "fi
     """One report a pair: (on, application_id, brand_name, recommendation, headline, checks, image_quality, notes, warning_diff, extraction_ms, reader).
 
     Two narrow steps after the join: all normal forms and numbers, then the checks, so that nothing is computed twice.
+    Pairs are dealt out evenly before, whatever share of them one key has.
     """
     a = applications.select(on, *[F.col(c).alias(f"a_{c}") for c in applications.columns if c != on])
     joined = a.join(extractions, on, how)
-    return verify_pairs(joined, on)
+    return verify_pairs(evenly(joined), on)
 
 
 def verify_pairs(joined: DataFrame, on: str = "filename_key", keep: Sequence[str] = ()) -> DataFrame:

@@ -150,3 +150,19 @@ def test_rollups(spark, reports):
     ranked = reports.select("filename_key", rollup.by_severity(F.col("checks")).alias("c")).where("filename_key = 'proof contradicts'").first().c
     assert [c.verdict for c in ranked] == ["fail"] + ["pass"] * 10 + ["not_applicable"] and ranked[1].id == "brand_name"
     assert reports.where(rollup.has_rule(F.col("checks"), "government_warning", "fail", "warning-wording-altered")).count() == 1
+
+
+def test_hot_application_is_the_work_of_many_tasks(spark):
+    """All readings are one application's: their reports come from many tasks, about as many each (one task before)."""
+    from proofline.plans.base import derived
+    from proofline.plans.label_queries import readings
+    from proofline.plans.stream_queries import FILED, ONE_PAIR, READINGS
+
+    sf = "/root/testdata/sf0.001"
+    applications = derived(spark, sf, ONE_PAIR).where("filename_key = 1").withColumnsRenamed({c: c.removeprefix("a_") for c in FILED})
+    columns = [c.split(" ", 1)[0] for c in EXTRACTION.split(", ")]
+    read = readings(derived(spark, sf, READINGS)).select(F.lit(1).cast("long").alias("filename_key"), *columns)
+    got = verify_labels(applications.withColumn("filename_key", F.col("filename_key").cast("long")), read)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == read.count() > 100
+    assert len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 3 * sum(sizes) / len(sizes)
