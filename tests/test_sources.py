@@ -197,3 +197,14 @@ def test_scores(spark):
     assert tuple(scores.totals(done).first()) == (1, 2)
     ids = scores.unknown_ids(spark.createDataFrame([("a",), ("b",)], "id string"), spark.createDataFrame([("a",)], "id string"))
     assert [r.id for r in ids.collect()] == ["b"] and rollup.verdict_rank is not None
+
+
+@pytest.mark.parametrize("name", ["json_validate", "reading_issues"])
+def test_a_reading_is_parsed_once(spark, name):
+    """However many fields of a reading are looked at, its text is parsed once (up to dozens of times before), in as many tasks as there are cores."""
+    import __spark_entry__ as entry
+
+    got = entry.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("from_json(") == 1 and plan.count("try_parse_json") + plan.count("parse_json(") <= 2
+    assert got.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
