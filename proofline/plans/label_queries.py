@@ -259,7 +259,7 @@ def application_parse(d: DataFrame) -> DataFrame:
     "SELECT event_id, CASE WHEN event_id % 4 = 0 AND value > 1 THEN NULL WHEN event_id % 4 = 1 THEN CAST(0.25 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS quality, CASE WHEN event_id % 4 = 0 AND value > 1 THEN 'brand_name: outside 0 to 1' END AS error FROM given",
 )
 def json_validate(d: DataFrame) -> DataFrame:
-    return d.select("event_id", readers.parse_extractions(F.col("raw")).alias("p")).select("event_id", F.col("p.value.image_quality.score").alias("quality"), "p.error")
+    return spread(d).select("event_id", readers.parse_extractions(F.col("raw")).alias("p")).select("event_id", F.col("p.value.image_quality.score").alias("quality"), "p.error")
 
 
 @query(
