@@ -17,6 +17,8 @@ from ..sources.shared import write_shared
 
 #: Different times of a busy spell that are gone through in order as one array; longer spells are worked on by many tasks.
 FOLDED = 4_096
+#: Answered requests that a stream's task hands on at once.
+SENT = 10_000
 STATE = T.StructType([T.StructField("count", T.LongType()), T.StructField("reset_at", T.LongType())])
 
 
@@ -166,7 +168,8 @@ class Limiter(StatefulProcessor):
         for k, v in held.items():
             if stored.get(k) != v:
                 self.windows.updateValue((k,), tuple(v))
-        yield pd.concat([batch[self.columns], pd.DataFrame(out, columns=OUTPUT)], axis=1)
+        for k in range(0, len(batch), SENT):
+            yield pd.concat([batch[self.columns].iloc[k : k + SENT].reset_index(drop=True), pd.DataFrame(out[k : k + SENT], columns=OUTPUT)], axis=1)
 
     def close(self) -> None:
         pass

@@ -10,6 +10,7 @@ from ..constants import RATE_LIMIT, RATE_WINDOW_MS
 from ..operators.rules import verify_pairs
 from ..schemas import APPLICATION
 from ..sources.readers import parse_applications, parse_extractions, request_error
+from ..sources.shared import evenly
 from ..sources.sinks import responses
 from .limits import rate_limit, rate_limit_stream
 
@@ -28,14 +29,19 @@ def answered(limited: DataFrame) -> DataFrame:
     """(request_id, status, body, retry_after) of gated requests that a limiter has looked at.
 
     `reading` is what the reader returned, as JSON; a reading that is missing or not valid is the reader's failure.
+    Rows are dealt out evenly, whichever clients they are of; those that are refused or failed are not verified.
     """
+    limited = evenly(limited)
     step = limited.withColumns({"a": parse_applications(F.col("application")), "e": parse_extractions(F.coalesce("reading", F.lit("")))})
     fields = [c.split()[0] for c in APPLICATION.split(", ")]
     read = [f for f in step.schema["e"].dataType["value"].dataType.names if f not in ("extraction_ms", "reader")]
     step = step.select(
         "request_id", "allowed", "retry_after_seconds", F.coalesce("refused", F.col("a.error")).alias("error"), F.col("e.error").alias("unread"),
-        *[F.col(f"a.value.{c}").alias(f"a_{c}") for c in fields], *[F.col(f"e.value.{f}").alias(f) for f in read], F.col("elapsed_ms").alias("extraction_ms"), "reader",
+        F.col("a.value").alias("a"), F.col("e.value").alias("e"), F.col("elapsed_ms").alias("extraction_ms"), "reader",
     )
+    judged = F.coalesce(F.col("allowed") & F.col("error").isNull() & F.col("unread").isNull(), F.lit(False))
+    step = step.withColumns({c: F.when(judged, F.col(c)) for c in ("a", "e")})
+    step = step.select("*", *[F.col(f"a.{c}").alias(f"a_{c}") for c in fields], *[F.col(f"e.{f}").alias(f) for f in read]).drop("a", "e")
     reports = verify_pairs(step, "request_id", keep=["allowed", "retry_after_seconds", "error", "unread"])
     rows = reports.withColumns({
         "report": F.struct(*REPORT),

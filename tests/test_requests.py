@@ -95,3 +95,19 @@ def test_a_flood_of_keys_does_not_grow_the_state(spark, tmp_path, rocks):
     want, held = plain(flood, 4, 2000, 20)
     assert sorted(map(tuple, spark.sql("select request_id, allowed from flooded").collect())) == want
     assert held <= 21 and [p.stateOperators[0].numRowsTotal for p in q.recentProgress][-1] <= 2 * 21 + 2
+
+
+def test_answers_of_one_task_are_the_work_of_many(spark):
+    """What one shard of the limiter hands on is verified by many tasks, about as many rows each (by that one task before)."""
+    from proofline.streaming.requests import answered
+    from pyspark.sql import functions as F
+
+    given = spark.range(400, numPartitions=1).select(
+        F.col("id").alias("request_id"), F.lit(None).cast("string").alias("refused"), F.lit('{"beverageType":"wine","brandName":"B","classType":"Red"}').alias("application"),
+        F.lit('{"brand_name":{"text":"Quite Other","confidence":0.9}}').alias("reading"), F.lit("table").alias("reader"), F.lit(900).cast("long").alias("elapsed_ms"), (F.col("id") % 4 > 0).alias("allowed"), F.lit(1).cast("long").alias("retry_after_seconds"),
+    )
+    got = answered(given)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) <= 3 * 400 / len(sizes)
+    told = got.select("request_id", "status", F.get_json_object("body", "$.report.recommendation").alias("said")).collect()
+    assert all((r.status, r.said) == ((200, "reject") if r.request_id % 4 else (429, None)) for r in told)
